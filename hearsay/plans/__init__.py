@@ -1,4 +1,4 @@
-from . import activity  # noqa: F401
+from . import activity, risk, texts  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
