@@ -1,26 +1,36 @@
-"""Joins that stay balanced when one key holds a large part of the rows."""
+"""Joins that stay balanced when one key holds a large part of the rows.
+
+AQE splits skewed shuffle partitions of a join by itself and is left to do so
+where nothing is known beforehand. Where a table of key counts exists anyway,
+the salting below does not depend on partition sizes measured at run time.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Fewer than HOT_SHARE keys can each hold more than 1/HOT_SHARE of the rows, so
-# a table of hot keys has fewer than HOT_SHARE rows whatever the data looks like.
+# a list of hot keys has fewer than HOT_SHARE entries whatever the data is like.
 HOT_SHARE = 1000
 HOT_FLOOR = 100_000
 
 
-def hot_keys(counts: DataFrame, key: str, n: str = "n", floor: int = HOT_FLOOR) -> DataFrame:
-    """Keys above `floor` rows and above 1/HOT_SHARE of all rows, with a salt range.
+def hot_keys(counts: DataFrame, key: str, floor: int | None = None) -> DataFrame | None:
+    """(key, _salts) for keys above `floor` rows and above 1/HOT_SHARE of all rows.
 
-    `counts` has one row per key. The result is bounded by HOT_SHARE rows.
+    `counts` has one row (key, n) per key and should be cheap to read twice.
+    None if no key is hot.
     """
-    total = counts.agg(F.sum(n)).scalar()
-    share = F.col(n) * F.lit(HOT_SHARE) / total
-    return (
-        counts.where((F.col(n) > floor) & (share > 1))
-        .select(F.col(key), F.least(F.ceil(F.col(n) / F.lit(floor)), F.ceil(share)).cast("int").alias("_salts"))
+    floor = HOT_FLOOR if floor is None else floor
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    if total <= floor:
+        return None
+    edge = max(floor, total / HOT_SHARE)
+    hot = counts.where(F.col("n") > edge).select(
+        key, F.ceil(F.col("n") / F.lit(edge)).cast("int").alias("_salts")
     )
+    rows = hot.collect()
+    return counts.sparkSession.createDataFrame(rows, hot.schema) if rows else None
 
 
 def spread_join(
@@ -28,27 +38,27 @@ def spread_join(
     one: DataFrame,
     key: str,
     spread: Column,
-    counts: DataFrame | None = None,
+    counts: DataFrame,
     how: str = "inner",
-    floor: int = HOT_FLOOR,
+    floor: int | None = None,
 ) -> DataFrame:
     """Equi join of `many` with `one` (at most one row per key).
 
     Rows of hot keys are salted by `spread`, a value that differs between the
     rows of a key and never changes on a retry; the matching row of `one` is
-    copied once per salt. Cold keys keep a single salt and are not copied.
+    copied once per salt. Without hot keys this is the plain join.
     """
-    if counts is None:
-        counts = many.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    hot = F.broadcast(hot_keys(counts, key, floor=floor))
+    hot = hot_keys(counts, key, floor)
+    if hot is None:
+        return many.join(one, key, how)
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     left = (
-        many.join(hot, key, "left")
+        many.join(F.broadcast(hot), key, "left")
         .withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int"))
         .drop("_salts")
     )
     right = (
-        one.join(hot, key, "left")
+        one.join(F.broadcast(hot), key, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
         .drop("_salts")
     )

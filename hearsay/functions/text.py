@@ -26,11 +26,19 @@ def tokens(text) -> Column:
     return F.when(lowered.rlike(HAN), F.flatten(F.transform(runs, _bigrams))).otherwise(words)
 
 
+def _with(value: Column, use) -> Column:
+    """Evaluate `value` once and pass it to `use`, which may read it in a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
 def shingles(words: Column, n: int = 3) -> Column:
     """Distinct hashes of all runs of n words; empty below n words."""
-    starts = F.sequence(F.lit(1), F.size(words) - F.lit(n - 1))
-    hashed = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " ")))
-    return F.when(F.size(words) >= n, F.array_distinct(hashed)).otherwise(F.array().cast("array<bigint>"))
+    def runs(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(w) - F.lit(n - 1))
+        hashed = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))
+        return F.when(F.size(w) >= n, F.array_distinct(hashed)).otherwise(F.array().cast("array<bigint>"))
+
+    return _with(words, runs)
 
 
 def jaccard(a, b) -> Column:
