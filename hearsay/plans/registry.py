@@ -29,3 +29,8 @@ def query(name: str, sql: str | None = None):
 
 def table(folder: str, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}.parquet"
+
+
+def landing(folder: str, name: str) -> str:
+    """The same place as a pattern: a file stream takes no single file."""
+    return table(folder, name) + "*"
