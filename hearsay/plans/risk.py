@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import hot, overview, risk, trend
+from ..operators import hot, overview, report, risk, trend
+from ..session import cut
 from ..functions.durations import bucket_start
-from .activity import RECENT_SQL, daily_series, posts
+from .activity import RECENT_SQL, SERIES_SQL, STAGE_SQL, daily_series, posts
 from .registry import query
 
 # On this table the share of "error" rows stands for the negative share and the
@@ -86,3 +87,31 @@ def situation_overview(spark, folder):
     )
     cube = overview.overview(rows, ["day", "event_type", "polarity"], {"n": F.lit(1), "weight": F.col("value")})
     return cube.withColumn("weight", F.round("weight", 4))
+
+
+REPORT_SQL = SCORE_SQL + STAGE_SQL[len(SERIES_SQL):]
+
+
+@query("topic_report", f"""
+WITH {REPORT_SQL},
+lines AS (SELECT topic, round(regr_slope(n, t), 6) AS slope,
+                 round(greatest(regr_intercept(n, t) + 7 * regr_slope(n, t), 0.0), 6) AS projected
+          FROM recent GROUP BY topic)
+SELECT f.topic, f.heat, f.negative_share, CAST(f.spread AS BIGINT) AS spread, s.stage, s.peak_bucket,
+       l.slope, l.projected, r.risk_score, r.risk_level
+FROM features f JOIN stages s ON s.topic = f.topic JOIN lines l ON l.topic = f.topic JOIN rated r ON r.topic = f.topic""")
+def topic_report(spark, folder):
+    facts = cut(features(spark, folder))
+    series = cut(daily_series(spark, folder))
+    nested = report.assemble(facts.select("topic"), "topic", {
+        "heat": facts.select("topic", "heat"),
+        "sentiment": facts.select("topic", "negative_share"),
+        "propagation": facts.select("topic", F.col("spread").cast("long").alias("spread")),
+        "trend": trend.stage(series).join(trend.slope(series), "topic").join(trend.project(series), "topic"),
+        "risk": risk.risk_level(risk.risk_score(facts, key="topic")),
+    })
+    return nested.select(
+        "topic", "heat.heat", "sentiment.negative_share", "propagation.spread", "trend.stage", "trend.peak_bucket",
+        F.round("trend.slope", 6).alias("slope"), F.round("trend.projected", 6).alias("projected"),
+        F.round("risk.risk_score", 6).alias("risk_score"), "risk.risk_level",
+    )
