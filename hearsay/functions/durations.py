@@ -1,4 +1,4 @@
-"""Durations given as text ("30 minutes") or as seconds."""
+"""Small literals: durations given as text ("30 minutes") or seconds, number arrays."""
 
 from __future__ import annotations
 
@@ -21,3 +21,9 @@ def interval(duration: str | int) -> Column:
 def bucket_start(ts, width: str | int) -> Column:
     """Start of the tumbling window that holds `ts`, in the type of `ts`."""
     return F.window(ts, f"{seconds(width)} seconds")["start"]
+
+
+def number_array(values) -> Column:
+    """A sorted array<double> literal, built in one call however long it is."""
+    listed = ", ".join(f"{float(v)!r}D" for v in sorted(set(values)))
+    return F.expr(f"cast(array({listed}) as array<double>)")

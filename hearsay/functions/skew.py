@@ -22,8 +22,8 @@ def hot_keys(counts: DataFrame, key: str, floor: int | None = None) -> DataFrame
     None if no key is hot.
     """
     floor = HOT_FLOOR if floor is None else floor
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    if total <= floor:
+    largest, total = counts.agg(F.max("n"), F.sum("n")).first()
+    if not total or largest <= max(floor, total / HOT_SHARE):
         return None
     edge = max(floor, total / HOT_SHARE)
     hot = counts.where(F.col("n") > edge).select(
