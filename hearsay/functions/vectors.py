@@ -34,24 +34,36 @@ def small_side(df: DataFrame, bound: int) -> list | None:
     return rows if len(rows) <= bound else None
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best by score, ties by smaller id."""
-    if len(scores) > k:
-        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-        keep = np.flatnonzero(scores >= edge)
-    else:
-        keep = np.arange(len(scores))
-    return keep[np.lexsort((ids[keep], -scores[keep]))][:k]
+NOTHING = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))
+
+
+def keep_best(kept: tuple, item_ids: np.ndarray, scores: np.ndarray, k: int) -> tuple:
+    """Merge a (queries x items) score matrix into the k best per query so far.
+
+    `kept` is (query position, item id, score), flat. Ties go to the smaller id;
+    -inf marks pairs that do not count.
+    """
+    edge = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
+    q, i = np.nonzero((scores >= edge[:, None]) & (scores > -np.inf))
+    queries = np.concatenate([kept[0], q])
+    items = np.concatenate([kept[1], item_ids[i]])
+    values = np.concatenate([kept[2], scores[q, i]])
+    order = np.lexsort((items, -values, queries))
+    queries, items, values = queries[order], items[order], values[order]
+    first = np.searchsorted(queries, queries, side="left")
+    top = np.arange(len(queries)) - first < k
+    return queries[top], items[top], values[top]
 
 
-def _top_rows(query_ids, item_ids, scores, k, skip_self) -> pd.DataFrame:
-    """Best k items for each row of a score matrix."""
-    parts = []
-    for i, query in enumerate(query_ids):
-        allowed = np.flatnonzero(item_ids != query) if skip_self else np.arange(len(item_ids))
-        picked = allowed[_best(item_ids[allowed], scores[i, allowed], k)]
-        parts.append(pd.DataFrame({"query_id": query, "item_id": item_ids[picked], "similarity": scores[i, picked]}))
-    return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "item_id": [], "similarity": []})
+def _scores(query_ids, query_matrix, item_ids, item_matrix, skip_self) -> np.ndarray:
+    scores = np.round(query_matrix @ item_matrix.T, DIGITS)
+    if skip_self:
+        scores[query_ids[:, None] == item_ids[None, :]] = -np.inf
+    return scores
+
+
+def _frame(query_ids: np.ndarray, kept: tuple) -> pd.DataFrame:
+    return pd.DataFrame({"query_id": query_ids[kept[0]], "item_id": kept[1], "similarity": kept[2]})
 
 
 OUT = "query_id bigint, item_id bigint, similarity double"
@@ -89,17 +101,14 @@ def _scan(queries: list, items: DataFrame, k: int, skip_self: bool) -> DataFrame
     matrix = spark.sparkContext.broadcast(_unit([r["vector"] for r in queries]))
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
+        kept = NOTHING
         for batch in batches:
-            if batch.empty:
-                continue
-            scores = np.round(matrix.value @ _unit(batch["vector"]).T, DIGITS)
-            fresh = _top_rows(ids, batch["id"].to_numpy(), scores, k, skip_self)
-            kept = fresh if kept is None else pd.concat([kept, fresh])
-            kept = kept.sort_values(["query_id", "similarity", "item_id"], ascending=[True, False, True])
-            kept = kept.groupby("query_id", sort=False).head(k)
-        if kept is not None:
-            yield kept
+            for start in range(0, len(batch), 1024):  # bounds the score matrix
+                block = batch.iloc[start:start + 1024]
+                block_ids = block["id"].to_numpy()
+                scores = _scores(ids, matrix.value, block_ids, _unit(block["vector"]), skip_self)
+                kept = keep_best(kept, block_ids, scores, k)
+        yield _frame(ids, kept)
 
     return items.select("id", "vector").mapInPandas(best, OUT)
 
@@ -174,8 +183,9 @@ def _by_cells(queries, items, k, skip_self, tile, n_pivots) -> DataFrame:
         parts = []
         for start in range(0, len(left_rows), 256):  # bounds the score matrix
             block = left_rows.iloc[start:start + 256]
-            scores = np.round(_unit(block["vector"]) @ item_matrix.T, DIGITS)
-            parts.append(_top_rows(block["id"].to_numpy(), item_ids, scores, k, skip_self))
+            block_ids = block["id"].to_numpy()
+            scores = _scores(block_ids, _unit(block["vector"]), item_ids, item_matrix, skip_self)
+            parts.append(_frame(block_ids, keep_best(NOTHING, item_ids, scores, k)))
         return pd.concat(parts)
 
     return left.groupBy(*tile_key).cogroup(right.groupBy(*tile_key)).applyInPandas(match, OUT)

@@ -52,6 +52,12 @@ def _question_terms(questions: DataFrame) -> DataFrame:
     )
 
 
+def _only(terms: list[str]):
+    """The asked terms among `words`; one parsed expression, however many terms."""
+    listed = ", ".join(f"'{t}'" for t in terms)  # tokens are letters and digits only
+    return F.expr(f"filter(words, t -> t in ({listed}))")
+
+
 def _scan(asked: list, docs: DataFrame, k: int) -> DataFrame:
     spark = docs.sparkSession
     out = "question_id bigint, doc_id bigint, score double"
@@ -63,7 +69,7 @@ def _scan(asked: list, docs: DataFrame, k: int) -> DataFrame:
     column = {q: i for i, q in enumerate(ids.tolist())}
     known = docs.select(
         F.col("id").alias("doc_id"), tokens("text").alias("words")
-    ).select("doc_id", F.size("words").alias("length"), F.filter("words", lambda t: t.isin(terms)).alias("words"))
+    ).select("doc_id", F.size("words").alias("length"), _only(terms).alias("words"))
     n_docs, mean = known.agg(F.count(F.lit(1)), F.avg("length")).first()
     spread = known.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(
         F.count(F.lit(1)).alias("n")
@@ -83,12 +89,12 @@ def _scan(asked: list, docs: DataFrame, k: int) -> DataFrame:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place, weights, ids = table.value
-        kept: list = [(np.empty(0, dtype=np.int64), np.empty(0))] * len(ids)
+        kept = vectors.NOTHING
         for batch in batches:
             doc_ids = batch["doc_id"].to_numpy()
             for start in range(0, len(batch), 512):  # bounds the score matrix
                 block = batch.iloc[start:start + 512]
-                scores = np.zeros((len(block), len(ids)))
+                scores = np.zeros((len(ids), len(block)))
                 for i, (length, words) in enumerate(zip(block["length"], block["words"])):
                     if not len(words):
                         continue
@@ -96,20 +102,11 @@ def _scan(asked: list, docs: DataFrame, k: int) -> DataFrame:
                     gain = times * (K1 + 1) / (times + K1 * (1 - B + B * length / mean))
                     for t, g in zip(found, gain):
                         q, w = weights[t]
-                        scores[i, q] += w * g
+                        scores[q, i] += w * g
                 scores = np.round(scores, 6)
-                block_ids = doc_ids[start:start + 512]
-                for q in range(len(ids)):
-                    hit = np.flatnonzero(scores[:, q] > 0)
-                    if not len(hit):
-                        continue
-                    all_ids = np.concatenate([kept[q][0], block_ids[hit]])
-                    all_scores = np.concatenate([kept[q][1], scores[hit, q]])
-                    top = vectors._best(all_ids, all_scores, k)
-                    kept[q] = (all_ids[top], all_scores[top])
-        for q, (found_ids, found_scores) in enumerate(kept):
-            if len(found_ids):
-                yield pd.DataFrame({"question_id": ids[q], "doc_id": found_ids, "score": found_scores})
+                scores[scores <= 0] = -np.inf
+                kept = vectors.keep_best(kept, doc_ids[start:start + 512], scores, k)
+        yield pd.DataFrame({"question_id": ids[kept[0]], "doc_id": kept[1], "score": kept[2]})
 
     return known.mapInPandas(score, out)
 

@@ -14,14 +14,24 @@ def _read(spark: SparkSession, path: str, schema, fmt: str) -> DataFrame:
     return spark.read.schema(schema).format(fmt).load(path)
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Deal a small input out to all cores before heavy per-row work.
+
+    An input with fewer scan splits than cores holds at most cores x
+    maxPartitionBytes, so moving it is cheap; a larger one is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Landed news pages: page_id, url, html."""
-    return _read(spark, path, schemas.PAGES, fmt)
+    return spread_small(_read(spark, path, schemas.PAGES, fmt))
 
 
 def read_articles(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Landed article texts: doc_id, text, lang, source, n_chars."""
-    return _read(spark, path, schemas.ARTICLES, fmt)
+    return spread_small(_read(spark, path, schemas.ARTICLES, fmt))
 
 
 def read_posts(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
