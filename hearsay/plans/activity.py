@@ -180,3 +180,11 @@ stages AS (
 @query("topic_stage", f"WITH {STAGE_SQL} SELECT * FROM stages")
 def topic_stage(spark, folder):
     return trend.stage(daily_series(spark, folder))
+
+
+@query("hot_topics_sketch", f"""
+WITH {POSTS_SQL}
+SELECT topic, count(*) AS n FROM posts WHERE topic IS NOT NULL GROUP BY topic""")
+def hot_topics_sketch(spark, folder):
+    """All 100 topics fit into the sketch, so its counts are exact here."""
+    return hot.approx_hot_topics(posts(spark, folder).where(F.col("topic").isNotNull()), "topic", 100)

@@ -32,6 +32,13 @@ def live_posts_landed(spark, folder):
     return spark.read.parquet(live.run_available(live_posts(spark, folder).drop("props")))
 
 
+@query("live_first_copies", f"WITH {POSTS_SQL} SELECT DISTINCT topic FROM posts")
+def live_first_copies(spark, folder):
+    """Properties of a post stand for its text; all files land in one batch."""
+    kept = live.drop_live_copies(timely(spark, folder), "props")
+    return spark.read.parquet(live.run_available(kept)).select("topic")
+
+
 @query("live_counts_tumbling", f"""
 WITH {POSTS_SQL}, {CLOCK_SQL}
 SELECT time_bucket(INTERVAL '1 hour', ts) AS bucket, topic, count(*) AS n, round(sum(value), 4) AS weight
