@@ -30,7 +30,14 @@ def build_session(app: str = "hearsay", cores: str = "*", partitions: int = 8) -
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Runtime settings every operator here relies on."""
+    """Runtime settings every operator here relies on.
+
+    A local session left at the default 200 shuffle partitions gets one per
+    core: streams open a state store per partition. A cluster keeps its own.
+    """
+    context = spark.sparkContext
+    if context.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        spark.conf.set("spark.sql.shuffle.partitions", str(context.defaultParallelism))
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
