@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 _own_folder: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def build_session(app: str = "hearsay", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -29,12 +32,34 @@ def build_session(app: str = "hearsay", cores: str = "*", partitions: int = 8) -
     return prepare(spark)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    They need not have it installed, nor the driver's working folder. The archive
+    is made in a folder of the driver, from which Spark serves it.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="hearsay-code-"), "hearsay.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Runtime settings every operator here relies on.
 
     A local session left at the default 200 shuffle partitions gets one per
     core: streams open a state store per partition. A cluster keeps its own.
     """
+    ship(spark)
     context = spark.sparkContext
     if context.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
         spark.conf.set("spark.sql.shuffle.partitions", str(context.defaultParallelism))
