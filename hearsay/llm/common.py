@@ -119,6 +119,7 @@ def code_points(text: str) -> np.ndarray:
 def ordered_chunks(rows: DataFrame, chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, list[int]]:
     """(rows with `_key` and `_chunk`, starts): `rows` by `_id` cut into runs of about `chunk_rows`.
 
+    There are no more than eight runs per shuffle partition; beyond that they get longer.
     Only the id column is read for the cuts, so nothing wide is sorted or shuffled
     here. A chunk is the part of the ids from one start up to the next; the number
     of starts follows the number of rows. Rows of a null id come first, with the
@@ -127,7 +128,7 @@ def ordered_chunks(rows: DataFrame, chunk_rows: int = CHUNK_ROWS) -> tuple[DataF
     least = -(1 << 63)
     keyed = rows.withColumn("_key", F.coalesce("_id", F.lit(least)))
     n = keyed.count()
-    pieces = max(1, -(-n // chunk_rows))
+    pieces = max(1, min(-(-n // chunk_rows), 8 * partitions(rows.sparkSession)))
     if pieces == 1:
         starts = [least]
     else:

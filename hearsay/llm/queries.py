@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, packing, quality, simhash, toxicity
+from . import decontaminate, mixing, packing, quality, simhash, toxicity, winnowing
 from .common import fold, ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,11 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     return _judged(quality.score_quality(docs, model), quality.FOLDS, 0, quality.THRESHOLD)
 
 
+@query
+def op2_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    return winnowing.fingerprint_documents(table(spark, folder, "documents"))
+
+
 @query
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, folder, "documents"))
@@ -59,6 +64,11 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return _judged(toxicity.score_toxicity(docs, model), toxicity.FOLDS, toxicity.HELD_OUT, toxicity.THRESHOLD)
 
 
+@query
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix_copies(table(spark, folder, "documents"))
