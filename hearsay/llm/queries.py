@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, mixing, packing, quality, simhash, toxicity, winnowing
+from . import decontaminate, mixing, packing, pii, quality, simhash, toxicity, winnowing
 from .common import fold, ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +69,12 @@ def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return pii.find_personal_data(docs, pii.train_tagger(docs))
+
+
 @query
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix_copies(table(spark, folder, "documents"))
