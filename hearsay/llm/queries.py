@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, mixing, packing, pii, quality, simhash, toxicity, winnowing
+from . import decontaminate, licenses, mixing, packing, pii, quality, simhash, toxicity, winnowing
 from .common import fold, ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +75,13 @@ def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find_personal_data(docs, pii.train_tagger(docs))
 
 
+@query
+def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select(
+        "page_id", licenses.url_path(F.col("url")).alias("path"), F.col("html").alias("text"))
+    return licenses.scan_licenses(pages)
+
+
 @query
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix_copies(table(spark, folder, "documents"))
