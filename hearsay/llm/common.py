@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..session import prepare
 
@@ -34,6 +39,24 @@ def id_and_text(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     return docs.select(F.col(id).cast("bigint").alias("_id"), F.col(text).cast("string").alias("_text"))
 
 
+def map_texts(
+    rows: DataFrame, make: Callable[[], Callable[[list[str]], dict]], columns: str
+) -> DataFrame:
+    """(_id, columns) of each row of (_id, _text), by a function on whole texts made once per task.
+
+    Null texts come as empty. Ids pass through untouched, null or not.
+    """
+    schema = pa.schema([("_id", pa.int64()), *to_arrow_schema(StructType.fromDDL(columns))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            texts = ["" if t is None else t for t in batch.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"_id": batch.column("_id"), **work(texts)}, schema=schema)
+
+    return rows.select("_id", "_text").mapInArrow(run, f"_id bigint, {columns}")
+
+
 def fold(id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo the number of folds; null for a null id."""
     return F.crc32(id.cast("string")) % folds
@@ -144,10 +167,10 @@ def chunk_of(key: Column, starts: list[int]) -> Column:
         return F.lit(0)
     marks = ",".join(f"{s}L" if s > -(1 << 63) else "bigint('-9223372036854775808')" for s in starts)
     array = F.expr(f"array({marks})")
-    steps = F.sequence(F.lit(len(starts).bit_length() - 1), F.lit(0), F.lit(-1))
+    steps = F.array(*[F.lit(1 << s) for s in range(len(starts).bit_length() - 1, -1, -1)])
 
     def search(at, step):
-        further = at + F.shiftleft(F.lit(1), step)
+        further = at + step
         fits = (further < len(starts)) & (F.get(array, further) <= key)
         return F.when(fits, further).otherwise(at)
 

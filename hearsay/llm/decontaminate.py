@@ -21,6 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import code_points, id_and_text
@@ -36,6 +37,7 @@ LEAST_AGREEMENT = 0.5
 TARGET_RECALL = 0.98
 TABLES = math.ceil(math.log(1 - TARGET_RECALL) / math.log(1 - LEAST_AGREEMENT ** SAMPLED))
 
+FIELDS = ("_id", "item_id", "start", "end", "edits")
 HITS = "_id bigint, item_id bigint, start int, end int, edits int"
 
 _SPACE = {9: 32, 10: 32, 11: 32, 12: 32, 13: 32}
@@ -256,17 +258,19 @@ def find_passages(
     themselves. Without items or documents the result is empty.
     """
     spark, rows = docs.sparkSession, id_and_text(docs, id, text)
+    schema = pa.schema([(name, pa.int64() if name.endswith("id") else pa.int32()) for name in FIELDS])
 
     def search(make):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = make()
             for batch in batches:
-                found = block.find(["" if t is None else t for t in batch["_text"]])
-                hits = [(i, *hit) for i, own in zip(batch["_id"], found) for hit in own]
-                out = pd.DataFrame(hits, columns=["_id", "item_id", "start", "end", "edits"])
-                yield out.astype({"_id": "Int64", "item_id": "int64", "start": "int32", "end": "int32", "edits": "int32"})
+                table = batch.to_pydict()
+                found = block.find(["" if t is None else t for t in table["_text"]])
+                hits = [(i, *hit) for i, own in zip(table["_id"], found) for hit in own]
+                yield pa.RecordBatch.from_pydict(
+                    {name: [h[k] for h in hits] for k, name in enumerate(FIELDS)}, schema=schema)
 
-        return rows.mapInPandas(run, HITS)
+        return rows.mapInArrow(run, HITS)
 
     parts = [search(_finder(spark, b, share, q)) for b in item_blocks(items, min_chars, item_id, item_text)]
     found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], HITS)

@@ -15,7 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.skew import spread_join
@@ -109,17 +109,17 @@ def scan_licenses(
         F.col(id).cast("bigint").alias("_id"), F.col(path).cast("string").alias("_path"), F.col(text).cast("string").alias("_text"))
     shared = files.sparkSession.sparkContext.broadcast((term_weights(rows, vocabulary(templates)), templates))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([("_id", pa.int64()), ("_path", pa.string()), ("own", pa.string()), ("similarity", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(*shared.value)
         for batch in batches:
-            found = [matcher.best(t, threshold) if t else (None, None) for t in batch["_text"]]
-            yield pd.DataFrame({
-                "_id": batch["_id"], "_path": batch["_path"],
-                "own": [name for name, _ in found], "similarity": pd.Series([s for _, s in found], dtype="float64"),
-            })
-
-    scanned = rows.mapInPandas(run, "_id bigint, _path string, own string, similarity double").select(
-        "_id", "_path", "own", F.when(F.col("own").isNotNull(), F.col("similarity")).alias("similarity"))
+            found = [matcher.best(t, threshold) if t else (None, None) for t in batch.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_id"), batch.column("_path").cast(pa.string()),
+                 pa.array([name for name, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], schema=schema)
+
+    scanned = rows.mapInArrow(run, "_id bigint, _path string, own string, similarity double")
     above = directories(F.col("_path"))
     scanned = cut(scanned.withColumn("_dirs", F.when(F.col("_path").isNotNull(), above)).withColumn(
         "_dir", F.element_at("_dirs", -1)))

@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import id_and_text
+from .common import id_and_text, map_texts
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = 24
@@ -401,20 +401,16 @@ def find_personal_data(docs: DataFrame, model: Tagger | None, id: str = "doc_id"
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = ["" if t is None else t for t in batch["_text"]]
-            base = [base_spans(t) for t in texts]
-            near = decode(shared.value, texts) if shared.value else [[] for _ in texts]
-            more = [added_spans(t, b, d) for t, b, d in zip(texts, base, near)]
-            out = {"_id": batch["_id"]}
-            for k, kind in enumerate(KINDS):
-                out[f"n_{kind}"] = [sum(s[1] == k for s in b) for b in base]
-            out["base_sha256"] = [hashlib.sha256(to_text(b).encode()).hexdigest() for b in base]
-            out["spans"] = [to_text(b + m) for b, m in zip(base, more)]
-            out["n_added"] = [len(m) for m in more]
-            yield pd.DataFrame(out)
+    def work(texts: list[str]) -> dict:
+        base = [base_spans(t) for t in texts]
+        near = decode(shared.value, texts) if shared.value else [[] for _ in texts]
+        more = [added_spans(t, b, d) for t, b, d in zip(texts, base, near)]
+        out = {f"n_{kind}": [sum(s[1] == k for s in b) for b in base] for k, kind in enumerate(KINDS)}
+        out["base_sha256"] = [hashlib.sha256(to_text(b).encode()).hexdigest() for b in base]
+        out["spans"] = [to_text(b + m) for b, m in zip(base, more)]
+        out["n_added"] = [len(m) for m in more]
+        return out
 
     counts = ", ".join(f"n_{kind} bigint" for kind in KINDS)
-    found = id_and_text(docs, id, text).mapInPandas(run, f"_id bigint, {counts}, base_sha256 string, spans string, n_added bigint")
+    found = map_texts(id_and_text(docs, id, text), lambda: work, f"{counts}, base_sha256 string, spans string, n_added bigint")
     return found.withColumnRenamed("_id", id)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import class_weights, fit_logistic, fold, id_and_text, label_sample, sigmoid
+from .common import class_weights, fit_logistic, fold, id_and_text, label_sample, map_texts, sigmoid
 
 DICTIONARY_BYTES = 1 << 16
 LEVEL = 3
@@ -123,13 +121,9 @@ def score_quality(docs: DataFrame, model: QualityModel, id: str = "doc_id", text
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         score = shared.value.scorer()
-        for batch in batches:
-            texts = ["" if t is None else t for t in batch["_text"]]
-            yield pd.DataFrame({"_id": batch["_id"], "score": score(texts)})
-
-    return (
-        id_and_text(docs, id, text).mapInPandas(run, "_id bigint, score double")
-        .select(F.col("_id").alias(id), "score")
-    )
+        return lambda texts: {"score": score(texts)}
+
+    scored = map_texts(id_and_text(docs, id, text), make, "score double")
+    return scored.withColumnRenamed("_id", id)

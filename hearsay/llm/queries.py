@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, licenses, mixing, packing, pii, quality, simhash, toxicity, winnowing
+from . import decontaminate, licenses, lm_scoring, mixing, packing, pii, quality, simhash, toxicity, winnowing
 from .common import fold, ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,11 @@ def op2_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     return winnowing.fingerprint_documents(table(spark, folder, "documents"))
 
 
+@query
+def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, folder, "documents"))
+
+
 @query
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, folder, "documents"))

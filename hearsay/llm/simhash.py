@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.skew import spread_join
 from ..operators.grouping import components
 from ..session import cut
-from .common import id_and_text, partitions
+from .common import id_and_text, map_texts, partitions
 
 WORDS = 3
 SEED = 42
@@ -64,12 +64,10 @@ def simhash(text: str | None, words: int = WORDS) -> int:
 
 def fingerprints(docs: DataFrame, words: int = WORDS, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(_id, fp) of every row, fp as signed 64 bits; a null or wordless text has 0."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            values = np.array([simhash(t, words) for t in batch["_text"]], dtype=np.uint64)
-            yield pd.DataFrame({"_id": batch["_id"], "fp": values.view(np.int64)})
+    def make():
+        return lambda texts: {"fp": np.array([simhash(t, words) for t in texts], dtype=np.uint64).view(np.int64)}
 
-    return id_and_text(docs, id, text).mapInPandas(run, "_id bigint, fp bigint")
+    return map_texts(id_and_text(docs, id, text), make, "fp bigint")
 
 
 def split(values: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:

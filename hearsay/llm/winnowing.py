@@ -16,8 +16,10 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .common import code_points, id_and_text, ordered_chunks, partitions
 
@@ -125,7 +127,7 @@ def fingerprint_documents(
         .select("_chunk", "_copy", "_id", "_text")
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the row whose next one is not known yet: chunk, id, text, hashes, distinct hashes, positions
         closed = None  # the chunk whose following text has been met
 
@@ -144,20 +146,20 @@ def fingerprint_documents(
 
         for batch in batches:
             out = []
-            for chunk, copy, doc, raw in zip(batch["_chunk"], batch["_copy"], batch["_id"], batch["_text"]):
+            for chunk, copy, doc, raw in zip(*(batch.column(c).to_pylist() for c in ("_chunk", "_copy", "_id", "_text"))):
                 if copy and chunk == closed:
                     continue  # another row of the id that follows
-                own = raw if isinstance(raw, str) else ""
+                own = "" if raw is None else raw
                 hashes, positions = winnow(code_points(own), k, window)
                 row = (chunk, doc, own, hashes, np.unique(hashes), positions)
                 if held is not None:
                     out.append(finish(held, own, row[4]))
                 held, closed = (None, chunk) if copy else (row, None)
-            frame = pd.DataFrame(out, columns=[
-                "_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-            yield frame.astype({"_id": "Int64", "n_chars": "int64", "near_edited": "float64", "near_next": "float64"})
-
-    found = dealt.mapInPandas(
-        run, "_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-        "near_edited double, near_next double")
-    return found.withColumnRenamed("_id", id)
+            yield pa.RecordBatch.from_pydict({name: [row[k] for row in out] for k, name in enumerate(schema.names)}, schema=schema)
+
+    columns = (
+        "_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+        "near_edited double, near_next double"
+    )
+    schema = to_arrow_schema(StructType.fromDDL(columns))
+    return dealt.mapInArrow(run, columns).withColumnRenamed("_id", id)
