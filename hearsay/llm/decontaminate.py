@@ -284,13 +284,15 @@ def drop_contaminated(
     """The rows of `docs` that hold no passage of an item, with their own columns only."""
     kept = docs
     for block in item_blocks(items, min_chars, item_id, item_text):
-        make = _finder(docs.sparkSession, block, share, q)
+        kept = kept.where(_is_clean(_finder(docs.sparkSession, block, share, q))(F.col(text)))
+    return kept
 
-        @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series], make=make) -> Iterator[pd.Series]:
-            of = make()
-            for batch in batches:
-                yield pd.Series([not own for own in of.find(["" if t is None else t for t in batch])], dtype=bool)
 
-        kept = kept.where(clean(F.col(text)))
-    return kept
+def _is_clean(make):
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        block = make()
+        for batch in batches:
+            yield pd.Series([not own for own in block.find(["" if t is None else t for t in batch])], dtype=bool)
+
+    return clean

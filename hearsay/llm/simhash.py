@@ -199,11 +199,12 @@ def first_of_groups(docs: DataFrame, words: int = WORDS, id: str = "doc_id", tex
     def print_of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([simhash(t, words) for t in texts], dtype=np.uint64).view(np.int64))
 
-    def one_each(rows: DataFrame, *by: str) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(text).asc_nulls_first()))
-        return rows.withColumn("_place", place).where("_place = 1").drop("_place")
-
-    named = one_each(docs.join(own, F.col(id).cast("bigint") == own["_kept"], "left_semi"), id)
-    nameless = docs.where(F.col(id).isNull()).withColumn("_print", print_of(F.col(text)))
-    kept = one_each(nameless.join(lone, nameless["_print"] == lone["fp"], "left_semi"), "_print").drop("_print")
-    return named.unionByName(kept)
+    def one_each(rows: DataFrame, by: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(by).orderBy(F.col("_text").asc_nulls_first()))
+        return rows.withColumn("_place", place).where("_place = 1").select("_row.*")
+
+    # A row travels as one column, so its own names cannot clash with those used here.
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id).cast("bigint").alias("_id"), F.col(text).alias("_text"))
+    named = one_each(rows.join(own, F.col("_id") == F.col("_kept"), "left_semi"), "_id")
+    nameless = rows.where(F.col("_id").isNull()).withColumn("_print", print_of(F.col("_text")))
+    return named.unionByName(one_each(nameless.join(lone, F.col("_print") == F.col("fp"), "left_semi"), "_print"))
