@@ -2,143 +2,49 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import vectors
+from ..functions.skew import spread_join
 from ..functions.text import tokens
 from ..session import cut
 
 K1, B = 1.2, 0.75
-QUESTION_BOUND = 4096
-TERM_BOUND = 20_000
-
-
-def _idf(n_docs, n):
-    return F.log(1 + (n_docs - n + 0.5) / (n + 0.5))
 
 
-def bm25_topk(
-    questions: DataFrame, docs: DataFrame, k: int,
-    question_bound: int = QUESTION_BOUND, term_bound: int = TERM_BOUND,
-) -> DataFrame:
+def bm25_topk(questions: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(question_id, doc_id, score, rank) of the k best passages per question.
 
-    Both sides have (id bigint, text). A question side within the bounds is
-    broadcast as a term x question weight table: one pass over the passages
-    counts document frequencies, a second scores them and keeps k per question
-    and task. Beyond the bounds the postings are joined on the term.
+    Both sides have (id bigint, text). Passages are tokenised once, into postings of
+    the asked words only, which are written; an empty word per passage carries its
+    length, so passages without any asked word count too. Postings meet the questions
+    on the word, a common word salted by passage, and weights are summed per question
+    and passage in the map tasks first. Every passage that shares a word with a
+    question scores above 0; ranks go by the rounded score, ties by the smaller id.
     """
-    asked = _question_terms(questions)
-    few = vectors.small_side(asked, term_bound)
-    if few is not None and len({r["question_id"] for r in few}) <= question_bound:
-        scored = _scan(few, docs, k)
-    else:
-        scored = _join(asked, docs)
-    order = Window.partitionBy("question_id").orderBy(F.col("score").desc(), F.col("doc_id"))
-    return (
-        scored.withColumn("score", F.round("score", 6))
-        .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    )
-
-
-def _question_terms(questions: DataFrame) -> DataFrame:
-    return (
+    asked = cut(
         questions.select(F.col("id").alias("question_id"), F.explode(tokens("text")).alias("term"))
         .groupBy("question_id", "term").agg(F.count(F.lit(1)).alias("times"))
     )
-
-
-def _only(terms: list[str]):
-    """The asked terms among `words`; one parsed expression, however many terms."""
-    listed = ", ".join(f"'{t}'" for t in terms)  # tokens are letters and digits only
-    return F.expr(f"filter(words, t -> t in ({listed}))")
-
-
-def _scan(asked: list, docs: DataFrame, k: int) -> DataFrame:
-    spark = docs.sparkSession
-    out = "question_id bigint, doc_id bigint, score double"
-    if not asked:
-        return spark.createDataFrame([], out)
-    terms = sorted({r["term"] for r in asked})
-    place = {t: i for i, t in enumerate(terms)}
-    ids = np.array(sorted({r["question_id"] for r in asked}), dtype=np.int64)
-    column = {q: i for i, q in enumerate(ids.tolist())}
-    known = docs.select(
-        F.col("id").alias("doc_id"), tokens("text").alias("words")
-    ).select("doc_id", F.size("words").alias("length"), _only(terms).alias("words"))
-    n_docs, mean = known.agg(F.count(F.lit(1)), F.avg("length")).first()
-    spread = known.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("n")
-    ).collect()  # at most one row per question term
-    idf = np.zeros(len(terms))
-    for r in spread:
-        idf[place[r["term"]]] = np.log(1 + (n_docs - r["n"] + 0.5) / (r["n"] + 0.5))
-    # Weights by term, as (questions, weights) per term: as large as `asked`.
-    by_term: list = [([], []) for _ in terms]
-    for r in asked:
-        t = place[r["term"]]
-        by_term[t][0].append(column[r["question_id"]])
-        by_term[t][1].append(r["times"] * idf[t])
-    table = spark.sparkContext.broadcast(
-        (place, [(np.array(q, dtype=np.int64), np.array(w)) for q, w in by_term], ids)
-    )
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place, weights, ids = table.value
-        kept = vectors.NOTHING
-        for batch in batches:
-            doc_ids = batch["doc_id"].to_numpy()
-            for start in range(0, len(batch), 512):  # bounds the score matrix
-                block = batch.iloc[start:start + 512]
-                scores = np.zeros((len(ids), len(block)))
-                for i, (length, words) in enumerate(zip(block["length"], block["words"])):
-                    if not len(words):
-                        continue
-                    found, times = np.unique([place[w] for w in words], return_counts=True)
-                    gain = times * (K1 + 1) / (times + K1 * (1 - B + B * length / mean))
-                    for t, g in zip(found, gain):
-                        q, w = weights[t]
-                        scores[q, i] += w * g
-                scores = np.round(scores, 6)
-                scores[scores <= 0] = -np.inf
-                kept = vectors.keep_best(kept, doc_ids[start:start + 512], scores, k)
-        yield pd.DataFrame({"question_id": ids[kept[0]], "doc_id": kept[1], "score": kept[2]})
-
-    return known.mapInPandas(score, out)
-
-
-def _join(asked: DataFrame, docs: DataFrame) -> DataFrame:
-    """Any number of questions: postings of asked terms joined on the term.
-
-    Scores are summed per (question, passage) in the map tasks first. A term
-    common to many questions and passages is spread by AQE, and again by the
-    passage hash of the salted join key.
-    """
-    salts = 64
-    words = cut(docs.select(F.col("id").alias("doc_id"), tokens("text").alias("words")))
-    n_docs = words.agg(F.count(F.lit(1))).scalar()
-    mean = words.agg(F.avg(F.size("words"))).scalar()
-    vocabulary = asked.select("term").distinct()
-    postings = (
-        words.select("doc_id", F.size("words").alias("length"), F.explode("words").alias("term"))
+    wanted = asked.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    words = docs.select(F.col("id").alias("doc_id"), F.coalesce(tokens("text"), F.array().cast("array<string>")).alias("words"))
+    postings = cut(
+        words.select("doc_id", F.size("words").alias("length"), F.explode(F.concat("words", F.array(F.lit("")))).alias("term"))
+        .join(wanted, "term", "left_semi")
         .groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-        .join(vocabulary, "term", "left_semi")
     )
-    spread = postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    weights = asked.join(spread, "term").select(
-        "question_id", "term", (F.col("times") * _idf(n_docs, F.col("n"))).alias("weight")
-    )
-    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
-    left = postings.select("doc_id", "term", gain.alias("gain"),
-                           F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
-    right = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, ["term", "salt"]).groupBy("question_id", "doc_id").agg(
-        F.sum(F.col("weight") * F.col("gain")).alias("score")
+    n_docs, mean = postings.where("term = ''").agg(F.count(F.lit(1)), F.avg("length")).first()
+    found = postings.where("term <> ''")
+    counts = cut(found.groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+    idf = F.log(1 + (n_docs - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    weights = asked.join(counts, "term").select("question_id", "term", (F.col("times") * idf).alias("weight"))
+    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0)))
+    scored = (
+        spread_join(found.select("doc_id", "term", gain.alias("gain")), weights, "term", F.col("doc_id"), counts)
+        .groupBy("question_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("gain")), 6).alias("score"))
     )
+    order = Window.partitionBy("question_id").orderBy(F.col("score").desc(), F.col("doc_id"))
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def vector_topk(queries: DataFrame, items: DataFrame, k: int, skip_self: bool = False, **bounds) -> DataFrame:
@@ -146,36 +52,55 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int, skip_self: bool =
     return vectors.nearest(queries, items, k, skip_self, **bounds)
 
 
-def build_context(hits: DataFrame, docs: DataFrame, budget: int) -> DataFrame:
+def build_context(hits: DataFrame, docs: DataFrame, budget: int, questions: DataFrame | None = None) -> DataFrame:
     """(question_id, passages, n_chars, context): best passages within the budget.
 
     Passages are taken in rank order as long as their running length stays
-    within `budget` characters. `hits` holds at most k rows per question.
+    within `budget` characters. `hits` holds at most k rows per question. With
+    `questions` (id) every question has a row: one without a passage that fits
+    has 0 passages and an empty context.
     """
     texts = docs.select(F.col("id").alias("doc_id"), "text", F.length("text").alias("n_chars"))
     order = Window.partitionBy("question_id").orderBy("rank")
     running = F.sum("n_chars").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     taken = hits.join(texts, "doc_id").withColumn("_sum", running).where(F.col("_sum") <= budget)
     ordered = F.array_sort(F.collect_list(F.struct("rank", "text")))
-    return taken.groupBy("question_id").agg(
+    built = taken.groupBy("question_id").agg(
         F.count(F.lit(1)).alias("passages"),
         F.sum("n_chars").alias("n_chars"),
         F.array_join(F.transform(ordered, lambda p: p["text"]), "\n\n").alias("context"),
     )
+    if questions is None:
+        return built
+    every = questions.select(F.col("id").alias("question_id")).distinct()
+    return every.join(built, "question_id", "left").na.fill({"passages": 0, "n_chars": 0, "context": ""})
+
+
+# Turns of a conversation that one task orders; a longer one is cut into stretches of turn numbers.
+STRETCH = 10_000
 
 
 def qa_pairs(dialogues: DataFrame) -> DataFrame:
     """(conv_id, question_turn, question, answer_turn, answer).
 
-    A user turn and the assistant turn right after it. Turns are numbered
-    without gaps, so this is an equi join on (conversation, turn), which spreads
-    a very long conversation over all tasks.
+    A user turn and the next turn of the conversation, if that is the
+    assistant's; turns need not be numbered without gaps. Order is found on narrow rows, in
+    stretches of turn numbers, so a very long conversation spreads over many
+    tasks; the first turn of every stretch is handed to the one before it.
     """
-    asked = dialogues.where(F.col("role") == "user").select(
-        "conv_id", F.col("turn").alias("question_turn"), F.col("text").alias("question"),
-        (F.col("turn") + 1).alias("answer_turn"),
-    )
-    answered = dialogues.where(F.col("role") == "assistant").select(
-        "conv_id", F.col("turn").alias("answer_turn"), F.col("text").alias("answer")
-    )
-    return asked.join(answered, ["conv_id", "answer_turn"])
+    stretch = F.floor(F.col("turn") / STRETCH)
+    narrow = dialogues.select("conv_id", "turn", "role", stretch.alias("_stretch"))
+    inside = Window.partitionBy("conv_id", "_stretch").orderBy("turn")
+    local = narrow.withColumn("_next", F.lead(F.struct("turn", "role")).over(inside))
+    heads = narrow.groupBy("conv_id", "_stretch").agg(F.min_by(F.struct("turn", "role"), "turn").alias("_head"))
+    following = heads.withColumn("_after", F.lead("_head").over(Window.partitionBy("conv_id").orderBy("_stretch")))
+    edges = local.where("_next is null").join(following.select("conv_id", "_stretch", "_after"), ["conv_id", "_stretch"])
+    linked = local.where("_next is not null").select("conv_id", "turn", "role", "_next").unionByName(
+        edges.select("conv_id", "turn", "role", F.col("_after").alias("_next")))
+    pairs = linked.where((F.col("role") == "user") & (F.col("_next.role") == "assistant")).select(
+        "conv_id", F.col("turn").alias("question_turn"), F.col("_next.turn").alias("answer_turn"))
+    said = dialogues.select("conv_id", "turn", "role", "text")
+    asked = said.where("role = 'user'").select("conv_id", F.col("turn").alias("question_turn"), F.col("text").alias("question"))
+    answered = said.where("role = 'assistant'").select("conv_id", F.col("turn").alias("answer_turn"), F.col("text").alias("answer"))
+    return pairs.join(asked, ["conv_id", "question_turn"]).join(answered, ["conv_id", "answer_turn"]).select(
+        "conv_id", "question_turn", "question", "answer_turn", "answer")

@@ -78,6 +78,23 @@ def mention_counts_sliding(spark, folder):
     return counts.withColumn("weight", F.round("weight", 4))
 
 
+@query("mention_counts_sliding_uneven", f"""
+WITH {POSTS_SQL},
+starts AS (
+  SELECT *, unnest(generate_series(
+    time_bucket(INTERVAL '2 hours', ts) - INTERVAL '2 hours',
+    time_bucket(INTERVAL '2 hours', ts), INTERVAL '2 hours')) AS bucket
+  FROM posts WHERE topic IS NOT NULL)
+SELECT bucket, topic, count(*) AS n, count(DISTINCT user_id) AS authors, round(sum(value), 4) AS weight
+FROM starts WHERE ts < bucket + INTERVAL '3 hours' GROUP BY bucket, topic""")
+def mention_counts_sliding_uneven(spark, folder):
+    """Windows whose slide does not divide their width."""
+    counts = hot.mention_counts(
+        posts(spark, folder), "ts", "topic", "3 hours", "2 hours", author="user_id", weight="value"
+    )
+    return counts.withColumn("weight", F.round("weight", 4))
+
+
 @query("topic_heat", f"""
 WITH {POSTS_SQL}, clock AS (SELECT max(ts) AS as_of FROM events)
 SELECT topic, count(*) AS n,

@@ -29,7 +29,7 @@ scores AS (
 hits AS (
   SELECT question_id, doc_id, score, rank FROM (
     SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scores)
-  WHERE rank <= 5 AND score > 0)"""
+  WHERE rank <= 5)"""
 
 COSINE = """round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 6)"""
 
@@ -63,12 +63,13 @@ sized AS (
   SELECT h.question_id, h.rank, d.text, length(d.text) AS n,
          sum(length(d.text)) OVER (PARTITION BY h.question_id ORDER BY h.rank) AS running
   FROM hits h JOIN documents d ON d.doc_id = h.doc_id)
-SELECT question_id, count(*) AS passages, CAST(sum(n) AS BIGINT) AS n_chars,
-       string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context
-FROM sized WHERE running <= 8000 GROUP BY question_id""")
+SELECT q.item_id AS question_id, count(s.rank) AS passages, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_chars,
+       coalesce(string_agg(text, chr(10) || chr(10) ORDER BY rank), '') AS context
+FROM (SELECT DISTINCT item_id FROM benchmark) q LEFT JOIN (SELECT * FROM sized WHERE running <= 8000) s ON s.question_id = q.item_id
+GROUP BY q.item_id""")
 def question_context(spark, folder):
     hits = cut(retrieval.bm25_topk(questions(spark, folder), passages(spark, folder), 5))
-    return retrieval.build_context(hits, passages(spark, folder), 8000)
+    return retrieval.build_context(hits, passages(spark, folder), 8000, questions(spark, folder))
 
 
 @query("vector_neighbours", f"""
@@ -84,6 +85,20 @@ def vector_neighbours(spark, folder):
     return retrieval.vector_topk(rows, rows, 5, skip_self=True)
 
 
+@query("vector_neighbours_by_cells", f"""
+WITH vecs AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+pairs AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS item_id, {COSINE} AS similarity
+  FROM vecs a JOIN vecs b ON a.vec_id <> b.vec_id)
+SELECT query_id, item_id, similarity, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS INTEGER) AS rank FROM pairs)
+WHERE rank <= 5""")
+def vector_neighbours_by_cells(spark, folder):
+    """The route for two large sides, whatever the size of the table."""
+    rows = vectors(spark, folder).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return retrieval.vector_topk(rows, rows, 5, skip_self=True, bound=0)
+
+
 @query("assigned_events", f"""
 WITH {CENTROID_SQL},
 best AS (
@@ -102,6 +117,13 @@ def vector_groups(spark, folder):
     return grouping.group_vectors(vectors(spark, folder), "vec_id", "embedding", 10)[0]
 
 
+@query("vector_groups_checked", "SELECT vec_id, true AS grouped FROM embeddings")
+def vector_groups_checked(spark, folder):
+    """What is fixed about the groups: every vector is in one of the ten."""
+    groups = grouping.group_vectors(vectors(spark, folder), "vec_id", "embedding", 10)[0]
+    return groups.select("vec_id", F.col("event_id").between(0, 9).alias("grouped"))
+
+
 @query("question_answer_pairs", """
 SELECT conv_id, turn AS question_turn, text AS question, next_turn AS answer_turn, next_text AS answer
 FROM (SELECT *, lead(role) OVER w AS next_role, lead(turn) OVER w AS next_turn, lead(text) OVER w AS next_text

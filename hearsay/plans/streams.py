@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.durations import bucket_start
-from ..operators import grouping
+from ..operators import grouping, sentiment
 from ..session import fresh_path
 from ..sources import sinks, tables
 from ..streaming import assignment, bursts, live
 from .activity import SERIES_SQL, POSTS_SQL, posts
 from .answers import CENTROID_SQL, COSINE, vectors
 from .registry import landing, query
+from .texts import SCORED_SQL
 
 NTZ = "timestamp_ntz"
 DELAY = "2 hours"
@@ -130,6 +131,14 @@ def live_assigned_events(spark, folder):
     return spark.read.parquet(out).select("vec_id", "event_id", "similarity", "opened")
 
 
+@query("live_sentiment", f"WITH {SCORED_SQL} SELECT doc_id, round(score, 6) AS score, polarity FROM scored")
+def live_sentiment(spark, folder):
+    """The lexicon score on a stream of articles equals that of the batch."""
+    arriving = live.stream_mentions(spark, landing(folder, "documents"), schemas.ARTICLES)
+    scored = sentiment.lexicon_sentiment(arriving, "text").select("doc_id", F.round("score", 6).alias("score"), "polarity")
+    return spark.read.parquet(live.run_available(scored))
+
+
 @query("written_events", f"""
 WITH {POSTS_SQL}
 SELECT event_id, ts, user_id, event_type, value, topic, CAST(ts AS DATE) AS day FROM posts""")

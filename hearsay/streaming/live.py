@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..functions.durations import seconds
@@ -27,16 +28,15 @@ def with_lateness(df: DataFrame, ts: str, delay: str) -> DataFrame:
 
     Watermarks need TIMESTAMP, so a TIMESTAMP_NTZ column is cast (session zone
     UTC). With chained stateful operators a late row may still be counted in the
-    first batch after the watermark moved. Dropped rows are counted in
-    `query.lastProgress` under numRowsDroppedByWatermark.
+    first batch after the watermark moved. `dropped_late` counts the rows dropped.
     """
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, f"{seconds(delay)} seconds")
 
 
 def drop_live_copies(df: DataFrame, text: str) -> DataFrame:
-    """First mention of every text within the watermark delay."""
-    keyed = df.withColumn("_copy", fingerprint(text))
-    return keyed.dropDuplicatesWithinWatermark(["_copy"]).drop("_copy")
+    """First mention of every text within the watermark delay; all mentions of a null text stay."""
+    keyed = df.where(F.col(text).isNotNull()).withColumn("_copy", fingerprint(text))
+    return keyed.dropDuplicatesWithinWatermark(["_copy"]).drop("_copy").unionByName(df.where(F.col(text).isNull()))
 
 
 def live_counts(
@@ -65,24 +65,46 @@ def live_episodes(df: DataFrame, ts: str, topic: str, gap: str) -> DataFrame:
     )
 
 
-def run_available(df: DataFrame, path: str | None = None, each_batch=None) -> str:
+def start(
+    df: DataFrame, progress: str, path: str | None = None, each_batch=None, trigger: dict | None = None
+) -> StreamingQuery:
+    """Start a live run and give its query back.
+
+    `progress` is the folder that remembers what has been processed: a run that
+    names it again goes on where the last one ended, with its state. `trigger` is
+    what `DataStreamWriter.trigger` takes; without it the run ends after all files
+    landed so far. Results go to the function `each_batch` (batch, batch_id), or are
+    appended to a Parquet table at `path`.
+    """
+    writer = df.writeStream.option("checkpointLocation", progress).trigger(**(trigger or {"availableNow": True}))
+    if each_batch:
+        return writer.foreachBatch(each_batch).start()
+    return writer.outputMode("append").format("parquet").option("path", path).start()
+
+
+def dropped_late(query: StreamingQuery) -> int:
+    """Rows of this run that came after their window had closed, over all its stateful operators."""
+    return sum(
+        int(state["numRowsDroppedByWatermark"]) for step in query.recentProgress for state in step["stateOperators"]
+    )
+
+
+def run_available(df: DataFrame, path: str | None = None, each_batch=None, progress: str | None = None) -> str:
     """Process all files landed so far, then stop. Returns the output folder.
 
-    Progress is kept in the shared folder. With `each_batch` the results go to
-    that function (batch, batch_id), else to a Parquet table.
+    Without `progress` each call is a run of its own that reads everything anew
+    into a new folder; with it, a later call with the same `path` processes only
+    what has landed since.
     """
     spark = df.sparkSession
+    if progress and not path and not each_batch:
+        raise ValueError("a run that goes on needs the path it writes to")
     path = path or fresh_path(spark, "live")
-    writer = df.writeStream.option("checkpointLocation", fresh_path(spark, "progress")).trigger(availableNow=True)
-    if each_batch:
-        query = writer.foreachBatch(each_batch).start()
-    else:
-        query = writer.outputMode("append").format("parquet").option("path", path).start()
-    query.awaitTermination()
+    start(df, progress or fresh_path(spark, "progress"), path, each_batch).awaitTermination()
     return path
 
 
-def live_hot_topk(counts: DataFrame, k: int, path: str) -> str:
+def live_hot_topk(counts: DataFrame, k: int, path: str, progress: str | None = None) -> str:
     """Write the k leading topics of every window as soon as it has closed.
 
     Ranking is not allowed on a stream, so it runs on each batch of closed
@@ -93,4 +115,4 @@ def live_hot_topk(counts: DataFrame, k: int, path: str) -> str:
         flat = batch.withColumn("bucket", F.col("window.start")).drop("window")
         write_batch(hot_topk(flat, k), path, batch_id)
 
-    return run_available(counts, path, each)
+    return run_available(counts, path, each, progress)

@@ -63,3 +63,27 @@ def test_bursts_over_several_batches_equal_the_batch(spark):
     series = trend.volume_series(batch, "ts", "topic", "1 day")
     batch_rows = sorted((r.topic, r.bucket.day, r.n, r.z) for r in hot.bursts(series).where("topic <> 9").collect())
     assert live_rows == batch_rows and len(live_rows) >= 4
+
+
+def test_a_live_run_goes_on_where_it_ended(spark):
+    path = land(spark, [[(at(10, 5), 1, "a")], [(at(13, 30), 1, "b")]])
+    out, progress = fresh_path(spark, "out"), fresh_path(spark, "progress")
+
+    def run():
+        timely = live.with_lateness(stream(spark, path), "ts", "2 hours")
+        query = live.start(live.live_counts(timely, "ts", "topic", "1 hour"), progress, out)
+        query.awaitTermination()
+        rows = spark.read.parquet(out).select(F.hour("window.start").alias("h"), "n").collect()
+        return sorted((r.h, r.n) for r in rows), live.dropped_late(query), sum(p["numInputRows"] for p in query.recentProgress)
+
+    assert run() == ([(10, 1)], 0, 2)
+    for rows in ([(at(13, 40), 1, "c"), (at(10, 40), 1, "late")], [(at(17, 0), 1, "d")]):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    # The open window of 13:00 kept its count; the row of 10:40 came too late.
+    assert run() == ([(10, 1), (13, 2)], 1, 3)
+
+
+def test_null_texts_stay_in_live_copies(spark):
+    path = land(spark, [[(at(10, 0), 1, "A b"), (at(10, 1), 1, None)], [(at(10, 2), 1, None), (at(10, 3), 1, "a b")]])
+    kept = live.drop_live_copies(live.with_lateness(stream(spark, path), "ts", "2 hours"), "text")
+    assert sorted(str(r.text) for r in spark.read.parquet(live.run_available(kept)).collect()) == ["A b", "None", "None"]
