@@ -18,7 +18,8 @@ HEADLINES = [
     "volume_growth", "risk_level", "situation_overview", "page_articles", "first_copies",
     "lexicon_sentiment", "story_keywords", "event_groups", "reprint_edges_exact", "propagation_tree",
     "bm25_passages", "vector_neighbours", "assigned_events", "question_answer_pairs",
-    "live_counts_tumbling",
+    "live_counts_tumbling", "reprint_edges", "propagation_paths", "story_report", "live_bursts",
+    "live_assigned_events", "trained_sentiment",
 ]
 
 

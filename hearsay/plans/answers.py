@@ -102,9 +102,9 @@ def vector_neighbours_by_cells(spark, folder):
 @query("assigned_events", f"""
 WITH {CENTROID_SQL},
 best AS (
-  SELECT a.vec_id, b.event_id, {COSINE} AS similarity FROM vecs a, centroids b
+  SELECT a.vec_id, a.v, b.event_id, {COSINE} AS similarity FROM vecs a, centroids b
   QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {COSINE} DESC, b.event_id) = 1)
-SELECT vec_id, CASE WHEN similarity >= 0.25 THEN event_id ELSE vec_id + 1099511627776 END AS event_id,
+SELECT vec_id, CASE WHEN similarity >= 0.25 THEN event_id ELSE min(vec_id) OVER (PARTITION BY v) + 1099511627776 END AS event_id,
        similarity, similarity < 0.25 AS opened FROM best""")
 def assigned_events(spark, folder):
     rows = vectors(spark, folder)

@@ -103,8 +103,10 @@ scored AS (
   SELECT topic, bucket, n, avg(n) OVER w AS m, stddev_samp(n) OVER w AS sd, count(n) OVER w AS seen
   FROM series
   WINDOW w AS (PARTITION BY topic ORDER BY bucket ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)),
-z AS (SELECT topic, bucket, n, round((n - m) / greatest(sd, 1.0), 6) AS z FROM scored WHERE seen >= 3)
-SELECT z.* FROM z, clock WHERE z >= 3.0 AND bucket + INTERVAL '1 day' <= closed_until""")
+z AS (SELECT topic, bucket, n, round((n - m) / greatest(sd, 1.0), 6) AS z FROM scored WHERE seen >= 3),
+crossed AS (SELECT *, lag(z) OVER (PARTITION BY topic ORDER BY bucket) AS before FROM z)
+SELECT topic, bucket, n, z FROM crossed, clock
+WHERE z >= 3.0 AND coalesce(before, 0) < 3.0 AND bucket + INTERVAL '1 day' <= closed_until""")
 def live_bursts(spark, folder):
     first = posts(spark, folder).agg(F.min("ts").alias("t")).select(
         F.unix_timestamp(bucket_start("t", "1 day").cast("timestamp"))
@@ -118,9 +120,9 @@ def live_bursts(spark, folder):
 @query("live_assigned_events", f"""
 WITH {CENTROID_SQL},
 best AS (
-  SELECT a.vec_id, b.event_id, {COSINE} AS similarity FROM vecs a, centroids b
+  SELECT a.vec_id, a.v, b.event_id, {COSINE} AS similarity FROM vecs a, centroids b
   QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {COSINE} DESC, b.event_id) = 1)
-SELECT vec_id, CASE WHEN similarity >= 0.25 THEN event_id ELSE vec_id + 1099511627776 END AS event_id,
+SELECT vec_id, CASE WHEN similarity >= 0.25 THEN event_id ELSE min(vec_id) OVER (PARTITION BY v) + 1099511627776 END AS event_id,
        similarity, similarity < 0.25 AS opened FROM best""")
 def live_assigned_events(spark, folder):
     known = fresh_path(spark, "events")

@@ -28,7 +28,7 @@ def live_assignment(
         assigned = cut(assign_events(batch, id, vector, earlier.select("event_id", "vector"), min_similarity))
         write_batch(assigned, out, batch_id)
         opened = assigned.where("opened").select(id, "event_id").join(batch.select(id, vector), id)
-        fresh = opened.select("event_id", F.col(vector).cast("array<double>").alias("vector"))
+        fresh = opened.select("event_id", F.col(vector).cast("array<double>").alias("vector")).dropDuplicates(["event_id"])
         write_batch(fresh, known, batch_id + 1)  # folder 0 holds the events known at the start
 
     return run_available(df, out, each)

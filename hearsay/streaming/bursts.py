@@ -18,35 +18,38 @@ class BurstProcessor(StatefulProcessor):
     """Keeps the last counts of one topic and scores each newly closed window.
 
     Windows without mentions never arrive; they count as zeros between the last
-    window seen (or `origin`, the first window of the stream) and the next one.
+    window seen (or `origin`, the first window of the stream) and the next one. A
+    topic is above the cut from the window that crosses it to the first below.
     """
 
-    def __init__(self, step: int, origin: int, z: float, history: int, min_history: int):
-        self.step, self.origin, self.z = step, origin, z
+    def __init__(self, step: int, origin: int | None, z: float, history: int, min_history: int, repeat: bool):
+        self.step, self.origin, self.z, self.repeat = step, origin, z, repeat
         self.history, self.min_history = history, min_history
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.past = handle.getValueState("past", "until bigint, counts array<bigint>")
+        self.past = handle.getValueState("past", "until bigint, counts array<bigint>, above boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         if self.past.exists():
-            until, counts = self.past.get()
+            until, counts, above = self.past.get()
             counts = [int(c) for c in counts]
         else:
-            until, counts = self.origin - self.step, []
+            until, counts, above = None if self.origin is None else self.origin - self.step, [], False
         closed = pd.concat(list(rows)).sort_values("at")  # one row per closed window
         alerts = []
         for at, n in zip(closed["at"].tolist(), closed["n"].tolist()):
-            quiet = (at - until) // self.step - 1
+            quiet = 0 if until is None else (at - until) // self.step - 1
+            above = above and not quiet
             counts = (counts + [0] * min(quiet, self.history))[-self.history:]
             if len(counts) >= self.min_history:
                 spread = max(float(np.std(counts, ddof=1)), 1.0)
                 score = round((n - float(np.mean(counts))) / spread, 6)
-                if score >= self.z:
+                if score >= self.z and (self.repeat or not above):
                     alerts.append((key[0], pd.Timestamp(at, unit="s"), n, score))
+                above = score >= self.z
             counts = (counts + [n])[-self.history:]
             until = at
-        self.past.update((until, counts))
+        self.past.update((until, counts, above))
         yield pd.DataFrame(alerts, columns=["topic", "bucket", "n", "z"])
 
     def close(self) -> None:
@@ -54,13 +57,18 @@ class BurstProcessor(StatefulProcessor):
 
 
 def burst_stream(
-    counts: DataFrame, width: str, origin: int, z: float = 3.0, history: int = 7, min_history: int = 3
+    counts: DataFrame, width: str, origin: int | None = None, z: float = 3.0, history: int = 7, min_history: int = 3,
+    repeat: bool = False,
 ) -> DataFrame:
-    """Alerts (topic, bucket, n, z) from `live_counts`, one per window over the cut.
+    """Alerts (topic, bucket, n, z) from `live_counts`, one whenever a topic crosses the cut.
 
-    Only closed windows reach the Python processor, a row per topic and window,
-    so a viral topic costs it no more than a quiet one. `origin` is the start of
-    the first window in seconds since the epoch. Needs the RocksDB state store.
+    With `repeat` every window over the cut alerts. Only closed windows reach the
+    Python processor, a row per topic and window, so a viral topic costs it no more
+    than a quiet one. `origin` is the start of the first window in seconds since the
+    epoch: quiet windows from there on count as zeros; without it a topic's history begins
+    with its first window. The state of a topic is its last `history` counts and stays;
+    a processing-time limit on it would keep runs over the landed files from ending.
+    Needs the RocksDB state store.
     """
     closed = counts.select(
         F.col("topic").cast("int").alias("topic"),
@@ -69,7 +77,7 @@ def burst_stream(
         F.window_time("window").alias("closes"),
     )
     return closed.groupBy("topic").transformWithStateInPandas(
-        statefulProcessor=BurstProcessor(seconds(width), origin, z, history, min_history),
+        statefulProcessor=BurstProcessor(seconds(width), origin, z, history, min_history, repeat),
         outputStructType=ALERT,
         outputMode="Append",
         timeMode="None",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -62,7 +63,7 @@ def main():
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:]
-    spark = build_session("parity", "8")
+    spark = build_session("parity", os.environ.get("PARITY_CPUS", "8"))
     con = connect(folder)
     oracles = contract.oracle_sql()
     bad = 0

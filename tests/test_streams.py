@@ -57,7 +57,7 @@ def test_bursts_over_several_batches_equal_the_batch(spark):
     timely = live.with_lateness(stream(spark, path), "ts", "2 hours")
     batch = spark.read.parquet(path)
     origin = batch.agg(F.min("ts").alias("t")).select(F.unix_timestamp(bucket_start("t", "1 day").cast("timestamp"))).first()[0]
-    alerts = bursts.burst_stream(live.live_counts(timely, "ts", "topic", "1 day"), "1 day", origin)
+    alerts = bursts.burst_stream(live.live_counts(timely, "ts", "topic", "1 day"), "1 day", origin, repeat=True)
     found = spark.read.schema(bursts.ALERT).parquet(live.run_available(alerts))
     live_rows = sorted((r.topic, r.bucket.day, r.n, r.z) for r in found.collect())
     series = trend.volume_series(batch, "ts", "topic", "1 day")
@@ -87,3 +87,14 @@ def test_null_texts_stay_in_live_copies(spark):
     path = land(spark, [[(at(10, 0), 1, "A b"), (at(10, 1), 1, None)], [(at(10, 2), 1, None), (at(10, 3), 1, "a b")]])
     kept = live.drop_live_copies(live.with_lateness(stream(spark, path), "ts", "2 hours"), "text")
     assert sorted(str(r.text) for r in spark.read.parquet(live.run_available(kept)).collect()) == ["A b", "None", "None"]
+
+
+def test_a_burst_alerts_once_per_crossing(spark):
+    daily = [2, 2, 2, 2, 20, 90, 2, 2, 2, 2, 2, 2, 2, 30, 0, 0]
+    days = [[(at(1, i % 60, d + 1), 1, "") for i in range(n)] for d, n in enumerate(daily) if n]
+    path = land(spark, [*days, [(at(1, 0, 20), 9, "")], [(at(1, 1, 20), 9, "")]])
+    timely = live.with_lateness(stream(spark, path), "ts", "2 hours")
+    alerts = bursts.burst_stream(live.live_counts(timely, "ts", "topic", "1 day"), "1 day")
+    found = spark.read.schema(bursts.ALERT).parquet(live.run_available(alerts)).where("topic = 1")
+    # Days 5 and 6 both exceed the cut; one alert.
+    assert [r.bucket.day for r in found.orderBy("bucket").collect()] == [5, 14]
