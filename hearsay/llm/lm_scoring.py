@@ -13,7 +13,7 @@ Relations, each partitioned by what it is joined on:
 * answers: the corpus counts, dealt by block and joined to the blocks' n-grams, which
   are exploded there into the words of each document and summed per document.
 
-Entries travel packed, many to a row: a bucket keeps 48 bits of a hash beside the
+Entries travel packed and compressed, many to a row: a bucket keeps 48 bits of a hash beside the
 bits that chose the bucket, and there are as many buckets as the corpus needs.
 """
 
@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -46,6 +47,16 @@ def words_of(text: str | None) -> list[bytes]:
     return ("" if text is None else text).encode("utf-8", "replace").lower().split()
 
 
+def squeeze(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, mostly small: a width of 4 or 8 bytes, then the numbers, compressed."""
+    width = 4 if numbers.max(initial=0) < 1 << 32 else 8
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(numbers.astype(f"<u{width}").tobytes())
+
+
+def unsqueeze(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), dtype=f"<u{raw[0]}")
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task = TaskContext.get().partitionId()
     for place, batch in enumerate(batches):
@@ -57,7 +68,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = {
             "block": [(task << 32) + place], "n_words": [len(flat)], "n_distinct": [len(hashes)], "doc_ids": [table["_id"]],
             "lengths": [np.array([len(w) for w in split], dtype="<u4").tobytes()],
-            "codes": [codes.astype("<u4").tobytes()], "hashes": [hashes.tobytes()],
+            "codes": [squeeze(codes)], "hashes": [hashes.tobytes()],
         }
         yield pa.RecordBatch.from_pydict(row, schema=pa.schema([
             ("block", pa.int64()), ("n_words", pa.int64()), ("n_distinct", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
@@ -118,7 +129,7 @@ def _asking(order: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                lengths, codes = np.frombuffer(row["lengths"], "<u4").astype(np.int64), np.frombuffer(row["codes"], "<u4")
+                lengths, codes = np.frombuffer(row["lengths"], "<u4").astype(np.int64), unsqueeze(row["codes"])
                 levels = grams_of(lengths, codes, order)
                 by_level = gram_hashes(levels, codes, np.frombuffer(row["hashes"], "<u8"))
                 counts = np.concatenate([np.bincount(ids, minlength=len(h)) for (_, ids, _), h in zip(levels, by_level)])
@@ -126,13 +137,13 @@ def _asking(order: int, buckets: int):
                 if not len(hashes):
                     continue
                 sort = np.argsort(hashes, kind="stable")
-                hashes, counts = hashes[sort], counts[sort].astype("<u4")
+                hashes, counts = hashes[sort], counts[sort]
                 of = bucket_of(hashes, buckets)
                 edges = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]]))
                 rows = {
                     "bucket": of[edges[:-1]].astype(np.int32), "block": np.full(len(edges) - 1, row["block"]),
                     "keys": [_low48(hashes[a:b]) for a, b in zip(edges[:-1], edges[1:])],
-                    "counts": [counts[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])],
+                    "counts": [squeeze(counts[a:b]) for a, b in zip(edges[:-1], edges[1:])],
                 }
                 yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([
                     ("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
@@ -147,14 +158,14 @@ def _count_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def answer() -> pa.RecordBatch:
         keys = [_from48(r["keys"]) for r in held]
-        counts = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in held])
+        counts = np.concatenate([unsqueeze(r["counts"]) for r in held])
         _, place = np.unique(np.concatenate(keys), return_inverse=True)
         # Sums of whole numbers below 2^53 are exact.
         totals = np.bincount(place, weights=counts)[place].astype("<u8")
         edges = np.cumsum([0, *map(len, keys)])
         return pa.RecordBatch.from_pydict({
             "block": [r["block"] for r in held], "bucket": [r["bucket"] for r in held],
-            "totals": [_thin(totals[a:b]) for a, b in zip(edges[:-1], edges[1:])]}, schema=schema)
+            "totals": [squeeze(totals[a:b]) for a, b in zip(edges[:-1], edges[1:])]}, schema=schema)
 
     for batch in batches:
         for row in batch.to_pylist():
@@ -166,16 +177,6 @@ def _count_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield answer()
 
 
-def _thin(totals: np.ndarray) -> bytes:
-    """A width of 4 or 8 bytes, then the numbers."""
-    width = 4 if totals.max(initial=0) < 1 << 32 else 8
-    return bytes([width]) + totals.astype(f"<u{width}").tobytes()
-
-
-def _wide(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw[1:], dtype=f"<u{raw[0]}").astype(np.int64)
-
-
 def score_block(lengths, codes, hashes, totals: np.ndarray, n_corpus: int, order: int, backoff: float, leave_out: bool) -> np.ndarray:
     """Sum of log scores per document; `totals` are the corpus counts of the block's n-grams by hash."""
     levels = grams_of(lengths, codes, order)
@@ -237,9 +238,9 @@ def score_documents(
 
     def score(own: pa.Table, found: pa.Table) -> pa.Table:
         row = own.to_pylist()[0]  # a block is one row
-        lengths, codes = np.frombuffer(row["lengths"], "<u4").astype(np.int64), np.frombuffer(row["codes"], "<u4")
+        lengths, codes = np.frombuffer(row["lengths"], "<u4").astype(np.int64), unsqueeze(row["codes"])
         answers = found.sort_by("bucket").column("totals").to_pylist()
-        totals = np.concatenate([np.zeros(0, np.int64), *map(_wide, answers)])
+        totals = np.concatenate([np.zeros(0, np.int64), *(unsqueeze(a).astype(np.int64) for a in answers)])
         sums = score_block(lengths, codes, np.frombuffer(row["hashes"], "<u8"), totals, n_corpus, order, backoff, leave_out)
         return pa.table({"_id": pa.array(row["doc_ids"], pa.int64()), "n_words": pa.array(lengths), "log_score": pa.array(sums, pa.float64())})
 
