@@ -31,9 +31,9 @@ from .common import BATCH_ROWS, id_and_text, ordered_chunks, partitions
 END_ID = 1
 BLOCK_IDS = 1 << 18
 # Words whose ids a worker keeps, and as many older ones.
-WORD_STORE = 400_000
-# New words gathered before they are encoded together.
-LEARN_WORDS = 8_192
+WORD_STORE = 120_000
+# New words gathered before they are encoded together, and words held until then.
+LEARN_WORDS, HELD_WORDS = 4_096, 50_000
 
 BLOCKS = "chunk int, block int, width int, n_ids bigint, ids binary, doc_ids array<bigint>, offsets array<bigint>"
 
@@ -70,13 +70,17 @@ class WordEncoder:
     """text -> ids of the whole text, encoding each distinct word once.
 
     For a tokenizer that drops white space: its pieces never span it, so the ids of
-    a text are those of its words one after another. Many words go to the library in
-    one call, with a control character between them that has one id of its own;
-    words that hold it go alone.
+    a text are those of its words one after another. What else its own normaliser
+    and pre-tokenizer do is asked of them: where they part letters from marks, a word
+    and the marks behind it are looked up apart; where they fold case, ASCII words
+    are looked up in lower case. Many words go to the library in one call, parted by
+    a control character of one id, or, if all are ASCII letters and the model marks the
+    ends of words, by those ends.
     """
 
     _loaded: dict[str, WordEncoder] = {}
     MARK = "\x01"
+    TAIL = b".,!?;:"
 
     def __init__(self, content: str):
         from tokenizers import Tokenizer
@@ -86,6 +90,15 @@ class WordEncoder:
         self.mark = mark[0] if len(mark) == 1 else None
         self.recent: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        cutter, normalizer = self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
+        self.parts = cutter is not None and [p for p, _ in cutter.pre_tokenize_str("ab.!,;:?cd")] == ["ab", ".!,;:?", "cd"]
+        self.folds = normalizer is not None and normalizer.normalize_str("AbZ") == "abz"
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = None
+        if suffix:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.ends[[v for k, v in vocabulary.items() if k.endswith(suffix)]] = True
 
     @classmethod
     def of(cls, content: str) -> WordEncoder:
@@ -99,26 +112,56 @@ class WordEncoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def learn(self, words: list[bytes]) -> None:
-        between, mark = f" {self.MARK} ", self.MARK.encode()
-        plain = [w for w in words if mark not in w] if self.mark is not None else []
-        alone = [w for w in words if mark in w] if self.mark is not None else words
+        """Put the ids of new words into the store."""
+        recent, made = self.recent, []
+        for w in words:
+            stem = w.rstrip(self.TAIL) if self.parts else w
+            pieces = (stem, w[len(stem):]) if len(stem) < len(w) and stem.isalpha() else (w,)
+            made.append((w, tuple(p.lower() if self.folds and p.isascii() else p for p in pieces)))
+        new = {p for _, pieces in made for p in pieces if p not in recent}
+        letters = [p for p in new if p.isalpha()] if self.ends is not None else []  # of bytes: ASCII letters only
+        if not self._by_ends(letters):
+            letters = []
+        self._by_marks(list(new.difference(letters)))
+        for w, pieces in made:
+            if w not in recent:
+                recent[w] = recent[pieces[0]] if len(pieces) == 1 else recent[pieces[0]] + recent[pieces[1]]
+
+    def _by_ends(self, words: list[bytes]) -> bool:
+        """Words that are one piece each; False if the library sees it otherwise."""
+        for a in range(0, len(words), 512):
+            group = words[a:a + 512]
+            ids = self._batch(b" ".join(group).decode())
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(group) or ends[-1] != len(ids):
+                return False
+            self._store(group, ids, np.concatenate([[0], ends[:-1]]), ends)
+        return True
+
+    def _by_marks(self, words: list[bytes]) -> None:
+        mark = self.MARK.encode()
+        alone = [w for w in words if self.mark is None or mark in w]
         for w in alone:
             self.recent[w] = np.array(self._ids(w.decode("utf-8", "replace")), dtype="<u4").tobytes()
-        groups = [plain[i:i + 512] for i in range(0, len(plain), 512)]
-        for group in groups:
-            text = between.join([w.decode("utf-8", "replace") for w in group])
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        plain = words if not alone else [w for w in words if w not in set(alone)]
+        for a in range(0, len(plain), 512):
+            group = plain[a:a + 512]
+            ids = self._batch((b" " + mark + b" ").join(group).decode("utf-8", "replace"))
             marks = np.flatnonzero(ids == self.mark)
             if len(marks) != len(group) - 1:
                 raise ValueError("the tokenizer joins words across white space")
-            raw, begin = ids.tobytes(), 0
-            for w, end in zip(group, [*(marks * 4).tolist(), len(raw)]):
-                self.recent[w] = raw[begin:end]
-                begin = end + 4
+            self._store(group, ids, np.concatenate([[0], marks + 1]), np.append(marks, len(ids)))
+
+    def _batch(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _store(self, words: list[bytes], ids: np.ndarray, first: np.ndarray, end: np.ndarray) -> None:
+        raw = ids.tobytes()
+        self.recent.update((w, raw[a:b]) for w, a, b in zip(words, (first * 4).tolist(), (end * 4).tolist()))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. Words of the last WORD_STORE or so are kept; those met again stay."""
-        out, waiting, fresh = [], [], set()
+        out, waiting, fresh, held = [], [], set(), 0
 
         def finish():
             self.learn(list(fresh))
@@ -132,14 +175,16 @@ class WordEncoder:
         for text in texts:
             words = text.encode("utf-8", "replace").split()
             waiting.append(words)
+            held += len(words)
             for w in set(words).difference(self.recent):
                 known = self.older.get(w)
                 if known is None:
                     fresh.add(w)
                 else:
                     self.recent[w] = known
-            if len(fresh) >= LEARN_WORDS:
+            if len(fresh) >= LEARN_WORDS or held >= HELD_WORDS:
                 finish()
+                held = 0
         finish()
         return out
 
