@@ -30,10 +30,10 @@ from .common import BATCH_ROWS, id_and_text, ordered_chunks, partitions
 
 END_ID = 1
 BLOCK_IDS = 1 << 18
-# Words whose ids a worker keeps, and as many older ones.
-WORD_STORE = 120_000
+# Words whose ids a task keeps, and as many older ones.
+WORD_STORE = 180_000
 # New words gathered before they are encoded together, and words held until then.
-LEARN_WORDS, HELD_WORDS = 4_096, 50_000
+LEARN_WORDS, HELD_WORDS = 8_192, 100_000
 
 BLOCKS = "chunk int, block int, width int, n_ids bigint, ids binary, doc_ids array<bigint>, offsets array<bigint>"
 
@@ -78,7 +78,6 @@ class WordEncoder:
     ends of words, by those ends.
     """
 
-    _loaded: dict[str, WordEncoder] = {}
     MARK = "\x01"
     TAIL = b".,!?;:"
 
@@ -100,14 +99,6 @@ class WordEncoder:
             self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
             self.ends[[v for k, v in vocabulary.items() if k.endswith(suffix)]] = True
 
-    @classmethod
-    def of(cls, content: str) -> WordEncoder:
-        """One encoder per worker process."""
-        if content not in cls._loaded:
-            cls._loaded.clear()
-            cls._loaded[content] = cls(content)
-        return cls._loaded[content]
-
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -226,7 +217,7 @@ def write_packed(
     ).select("_chunk", "_id", "_text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder.of(shared.value)
+        encoder = WordEncoder(shared.value)  # its store goes with the task
         end = np.array([end_id], dtype="<u4")
         open_, chunk, block, n = [], None, 0, 0
 
