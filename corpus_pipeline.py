@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearsay.llm import decontaminate, mixing, packing, simhash, toxicity
+from hearsay.llm import decontaminate, mixing, packing, shingles, simhash, toxicity
 from hearsay.llm.common import ready, table
 from hearsay.session import cut
 
@@ -22,9 +22,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest id."""
+    """Of each group of near copies, by fingerprint or five-word shingles, the document of the smallest id."""
     ready(spark)
-    return simhash.first_of_groups(docs)
+    return simhash.first_of_groups(docs, alike=shingles.ALIKE)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.skew import spread_join
 from ..operators.grouping import components
 from ..session import cut
+from . import shingles
 from .common import id_and_text, map_texts, partitions
 
 WORDS = 3
@@ -162,17 +163,47 @@ def near_links(distinct: DataFrame) -> DataFrame:
     return met.mapInArrow(_meet, "a bigint, b bigint").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).distinct()
 
 
-def near_groups(docs: DataFrame, words: int = WORDS, id: str = "doc_id", text: str = "text") -> DataFrame:
+def keyed_fingerprints(docs: DataFrame, words: int, id: str, text: str) -> DataFrame:
+    """(_id, fp, h, keys) of every row: also the hash of its words and the MinHash keys of its shingles."""
+    def make():
+        def work(texts):
+            found = [shingles.words_of(t) for t in texts]
+            return {
+                "fp": np.array([simhash(t, words) for t in texts], dtype=np.uint64).view(np.int64),
+                "h": np.array([shingles.text_hash(f) for f in found], dtype=np.uint64).view(np.int64),
+                "keys": [shingles.band_keys(shingles.shingle_set(f)) for f in found],
+            }
+        return work
+
+    return map_texts(id_and_text(docs, id, text), make, "fp bigint, h bigint, keys binary")
+
+
+def near_groups(
+    docs: DataFrame, words: int = WORDS, id: str = "doc_id", text: str = "text", alike: float | None = None,
+) -> DataFrame:
     """(id, fp, component_id): one row per row; component_id is the smallest id reachable over links.
 
-    Equal fingerprints are one node, so copies of one text cost one row each. Null
-    and wordless texts share fingerprint zero. A row with a null id keeps its place
-    in the component, whose id is the smallest id that is not null (null if there is
-    none). Repeated rows come out repeated. An empty table gives an empty result.
+    Links are fingerprints within three bits and, with `alike`, texts whose five-word
+    shingles have at least that Jaccard similarity. Equal fingerprints are one node, so
+    copies of one text cost one row each. Null and wordless texts share fingerprint
+    zero. A row with a null id keeps its place in the component, whose id is the
+    smallest id that is not null (null if there is none). Repeated rows come out
+    repeated. An empty table gives an empty result.
     """
-    printed = cut(fingerprints(docs, words, id, text))
+    printed = cut(fingerprints(docs, words, id, text) if alike is None else keyed_fingerprints(docs, words, id, text))
     groups = cut(printed.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("least")))
     links = cut(near_links(groups))
+    if alike is not None:
+        keyed = cut(printed.groupBy("h").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+        near = components(links, "a", "b").select(F.col("id").alias("fp"), F.col("event_id").alias("label"))
+        tied = keyed.join(near, "fp", "left").select("h", F.coalesce("label", "fp").alias("label"))
+        heads = tied.groupBy("label").agg(F.min("h").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        known = cut(tied.join(heads, "label").select("a", F.col("h").alias("b")).where("a <> b"))
+        found = shingles.alike_links(keyed, id_and_text(docs, id, text), known, alike)
+        print_of = keyed.select("h", "fp")
+        named = found.join(print_of.toDF("a", "x"), "a").join(print_of.toDF("b", "y"), "b")
+        links = links.unionByName(named.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")))
+        links = cut(links)
     labels = components(links, "a", "b").select(F.col("id").alias("fp"), F.col("event_id").alias("label"))
     linked = groups.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     names = linked.groupBy("label").agg(F.min("least").alias("component_id"), F.sum("n").alias("_rows"))
@@ -180,18 +211,20 @@ def near_groups(docs: DataFrame, words: int = WORDS, id: str = "doc_id", text: s
         linked.join(names, "label").where("_rows > 1").select("fp", "n", "component_id")
     )
     found = spread_join(
-        printed, shared.select("fp", "component_id"), "fp", F.coalesce("_id", F.lit(0)), shared.select("fp", "n"), how="left"
+        printed.select("_id", "fp"), shared.select("fp", "component_id"), "fp", F.coalesce("_id", F.lit(0)), shared.select("fp", "n"), how="left"
     )
     return found.select(F.col("_id").alias(id), "fp", F.coalesce("component_id", "_id").alias("component_id"))
 
 
-def first_of_groups(docs: DataFrame, words: int = WORDS, id: str = "doc_id", text: str = "text") -> DataFrame:
+def first_of_groups(
+    docs: DataFrame, words: int = WORDS, id: str = "doc_id", text: str = "text", alike: float | None = None,
+) -> DataFrame:
     """The rows of `docs` that stay: of each group the row of its smallest id.
 
     Of several rows of that id the one of the smallest text stays. Rows of a null
     id stay only if their group has no other id, one for each fingerprint.
     """
-    groups = near_groups(docs, words, id, text)
+    groups = near_groups(docs, words, id, text, alike)
     own = groups.where(F.col(id) == F.col("component_id")).select(F.col(id).alias("_kept")).distinct()
     lone = groups.where(F.col(id).isNull() & F.col("component_id").isNull()).select("fp").distinct()
 
