@@ -1,7 +1,8 @@
 """License scans: TF-IDF cosine of notices to templates, then inheritance down directories.
 
-A file is a path and a text. Its blocks (lines, HTML elements) are compared with
-license templates as sparse TF-IDF vectors; the best block above the threshold
+A file is a path and a text. Its blocks (lines and HTML elements, and paragraphs of
+joined lines) are compared with license templates as sparse TF-IDF vectors; the best
+block above the threshold whose deciding terms agree (name, version, NC, SA, ND)
 declares the file's license. A licence file is one named LICENSE, LICENCE, COPYING
 or NOTICE, or the index page of a directory (its path ends in a slash); what it
 declares holds for its directory. A file that declares nothing takes the license
@@ -30,11 +31,43 @@ TEMPLATES = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MIT", "MIT License"),
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", "Licensed under the MIT License."),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated '
+            'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
+            'the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and '
+            'to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance '
+                   'with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-4.0", "SPDX-License-Identifier: CC-BY-4.0"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    ("CC-BY-NC-4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
+                "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
+                "later version."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
 )
 THRESHOLD = 0.7
 
 _WORD = re.compile(r"[a-z0-9]+")
 _BREAK = re.compile(r"(?:<[^>]*>|\n)+")
+_PARAGRAPH = re.compile(
+    r"\n[^\w\n<>]*\n|</?(?:p|div|li|h[1-6]|td|th|tr|br|pre|section|article|header|footer|ul|ol|table|html|body|nav|title)\b[^>]*>", re.I)
+_TAG = re.compile(r"<[^>]*>")
+_DENIED = re.compile(r"\b(?:not|never)\b[^.\n]{0,40}\blicensed\b|\bno licen[sc]e\b", re.I)
 _LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)(\.[a-z]+)?$"
 
 
@@ -42,6 +75,36 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def blocks_of(text: str) -> Iterator[str]:
+    """Lines and elements, then paragraphs that join several of them."""
+    yield from _BREAK.split(text)
+    for paragraph in _PARAGRAPH.split(text):
+        if "\n" in paragraph.strip() or "<" in paragraph:
+            yield _TAG.sub(" ", paragraph)
+
+
+def agrees(name: str, w: set[str]) -> bool:
+    """Whether the words of a block hold the terms that decide for a license and none that decide against it."""
+    named = not w.isdisjoint(("license", "licence", "licensed", "licences", "licenses"))
+    if name == "MIT":
+        return "mit" in w and named or {"permission", "granted", "charge", "sublicense"} <= w
+    if name == "Apache-2.0":
+        return named and {"apache", "2"} <= w
+    if name == "BSD-3-Clause":
+        return {"redistribution", "source", "binary"} <= w or named and {"bsd", "3"} <= w
+    if name == "GPL-3.0":
+        gpl = "gpl" in w or {"gnu", "general", "public"} <= w
+        return gpl and "3" in w and w.isdisjoint(("lesser", "affero", "library"))
+    if name == "MPL-2.0":
+        return not w.isdisjoint(("mozilla", "mpl")) and "2" in w
+    if name in ("CC-BY-4.0", "CC-BY-NC-4.0"):
+        by = {"cc", "by"} <= w or {"creative", "commons", "attribution"} <= w
+        free = w.isdisjoint(("sa", "nd", "sharealike", "noderivatives", "noderivs"))
+        paid = not w.isdisjoint(("nc", "noncommercial")) or {"non", "commercial"} <= w
+        return by and free and "4" in w and paid == (name == "CC-BY-NC-4.0")
+    return True
+
+
 def vocabulary(templates=TEMPLATES) -> list[str]:
     return sorted({w for _, text in templates for w in words_of(text)})
 
@@ -65,6 +128,7 @@ class Matcher:
     def __init__(self, weights: dict[str, float], templates=TEMPLATES):
         self.weights, self.other = weights, weights[""]
         self.known = frozenset(weights) - {""}
+        self.names = {name for name, _ in templates}
         self.templates = []
         for name, text in templates:
             vector = {w: c * weights[w] for w, c in Counter(words_of(text)).items()}
@@ -75,13 +139,17 @@ class Matcher:
         counts = Counter(words_of(block))
         if self.known.isdisjoint(counts):
             return []
+        held = set(counts)
+        names = {name for name in self.names if agrees(name, held)}
+        if not names or _DENIED.search(block):
+            return []
         vector = {w: c * self.weights.get(w, self.other) for w, c in counts.items()}
         length = math.sqrt(sum(v * v for v in vector.values()))
-        return [(sum(vector.get(w, 0.0) * v for w, v in t.items()) / length, name) for name, t in self.templates] if length else []
+        return [(sum(vector.get(w, 0.0) * v for w, v in t.items()) / length, name) for name, t in self.templates if name in names] if length else []
 
     def best(self, text: str, threshold: float) -> tuple[str | None, float | None]:
         top: tuple[float, str] | None = None
-        for block in _BREAK.split(text):
+        for block in blocks_of(text):
             for score, name in self.cosines(block):
                 if score >= threshold and (top is None or (-score, name) < (-top[0], top[1])):
                     top = (score, name)
