@@ -1,20 +1,26 @@
 """Registered queries of the training-data operators, each over its whole table.
 
-None has SQL beside it: DuckDB has no XXH64, tokenizer, compressor or trained
-model. tests/llm holds them against brute force, round trips and held-out labels.
+The conversations, rules and Merkle queries have SQL beside them. The others have none:
+DuckDB has no XXH64, tokenizer, compressor or trained model. tests/llm holds them against
+brute force, round trips and held-out labels.
 """
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, licenses, lm_scoring, mixing, packing, pii, quality, simhash, toxicity, winnowing
+from . import (
+    conversations, decontaminate, licenses, lm_scoring, merkle, mixing, oracles, packing, pii, quality, rules, simhash, toxicity, winnowing,
+)
 from .common import fold, ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_conversations": oracles.conversations_sql(), "op12_rules": oracles.rules_sql(), "op13_merkle": oracles.merkle_sql(),
+}
 
 
 def query(build: Callable[[SparkSession, str], DataFrame]):
@@ -95,3 +101,24 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
         F.col("_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"),
         F.col("_source").alias("source"), "rate", "copies",
     )
+
+
+@query
+def op11_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.audit_conversations(conversations.damage(table(spark, folder, "conversations")), present="present")
+
+
+@query
+def op12_rules(spark: SparkSession, folder: str) -> DataFrame:
+    ledger = rules.write_ledger(table(spark, folder, "documents"))
+    base = rules.rejects(rules.BASE)
+    return ledger.select("doc_id", *rules.MEASURES[:5], base.alias("base_failed"), (~(base | rules.rejects(rules.CURRENT))).alias("kept"), "fails")
+
+
+@query
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    leaves = merkle.tampered_leaves(table(spark, folder, "documents"), tampered, lowered)
+    found = merkle.verify(merkle.manifest(leaves))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
