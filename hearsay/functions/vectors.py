@@ -1,14 +1,19 @@
-"""Exact nearest vectors by cosine.
+"""Nearest vectors by cosine.
 
 A side is only broadcast after its rows were counted against a bound. When both
-sides are large, vectors are put into cells around pivots and a query visits
-just the cells that can hold one of its best matches (triangle inequality on
-the angle), in tiles of bounded size.
+sides are large, vectors are put into cells around trained pivots, whose number
+grows with the root of the number of vectors. An exact search visits the cells that can
+hold one of a query's best matches (triangle inequality on the angle), in tiles of
+bounded size; in many dimensions that leaves few cells out. A probing search visits
+the cells nearest to the query only, as many as `tune` finds to reach a recall.
+
+Rows without a vector have no neighbours and are nobody's.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,8 +23,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 BROADCAST_ROWS = 4096
 # Rows of either side of one tile.
 TILE_ROWS = 20_000
-PIVOTS = 64
+# Most pivots, and rows of the sample they are trained on for each of them: the bound of what reaches the driver.
+MOST_PIVOTS = 4096
+SAMPLE_PER_PIVOT = 8
 DIGITS = 6
+# Targets of one block of a score matrix.
+BLOCK = 4096
 
 
 def _unit(rows) -> np.ndarray:
@@ -76,18 +85,23 @@ def nearest(
     skip_self: bool = False,
     bound: int = BROADCAST_ROWS,
     tile: int = TILE_ROWS,
-    pivots: int = PIVOTS,
+    pivots: int | None = None,
+    probes: int | None = None,
 ) -> DataFrame:
     """(query_id, item_id, similarity, rank): the k most similar items per query.
 
     Both sides have (id bigint, vector). Similarities are rounded before they
-    are ranked; ties go to the smaller id. The result is exact on every route.
+    are ranked; ties go to the smaller id. The result is exact on every route,
+    unless `probes` cells are named, which always goes by cells.
     """
-    few = small_side(queries, bound)
+    queries, items = (side.select("id", "vector").where("vector is not null") for side in (queries, items))
+    few = small_side(queries, bound) if probes is None else None
     if few is not None:
-        found = _scan(few, items, k, skip_self)
-    else:
-        found = _by_cells(queries, items, k, skip_self, tile, pivots)
+        return ranked(_scan(few, items, k, skip_self), k)
+    return ranked(search(build_cells(items, pivots), queries, k, skip_self, tile, probes), k)
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("item_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -129,18 +143,94 @@ def _with_cell(df: DataFrame, pivots) -> DataFrame:
     return df.select("id", "vector").mapInPandas(place, schema + ", cell int, angle double")
 
 
-def _by_cells(queries, items, k, skip_self, tile, n_pivots) -> DataFrame:
+@dataclass
+class Cells:
+    """Vectors in cells: `placed` (id, vector, cell, angle); per cell its number, radius and rows."""
+
+    pivots: object  # broadcast
+    placed: DataFrame
+    numbers: np.ndarray
+    radius: np.ndarray
+    sizes: np.ndarray
+
+
+def train_pivots(items: DataFrame, pivots: int | None = None) -> np.ndarray:
+    """Unit vectors in the middle of the items: k-means by angle on the rows of least id hash."""
+    if pivots is None:
+        pivots = min(MOST_PIVOTS, max(1, int(np.ceil(np.sqrt(items.count())))))
+    rows = items.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PER_PIVOT * pivots).collect()
+    if not rows:
+        return np.zeros((0, 0))
+    sample = _unit([r["vector"] for r in rows])
+    centres = sample[:pivots].copy()
+    for _ in range(8):
+        of = np.concatenate([(sample[s:s + BLOCK] @ centres.T).argmax(axis=1) for s in range(0, len(sample), BLOCK)])
+        sums = np.zeros_like(centres)
+        np.add.at(sums, of, sample)
+        norms = np.linalg.norm(sums, axis=1)
+        centres = np.where(norms[:, None] > 0, sums / np.where(norms == 0, 1.0, norms)[:, None], centres)
+    return centres
+
+
+def build_cells(items: DataFrame, pivots: int | None = None) -> Cells:
     from ..session import cut
 
-    spark = items.sparkSession
-    chosen = items.orderBy(F.xxhash64("id")).limit(n_pivots).collect()  # n_pivots rows
-    pivots = spark.sparkContext.broadcast(_unit([r["vector"] for r in chosen]))
-    placed = cut(_with_cell(items, pivots))
+    spark, items = items.sparkSession, items.where("vector is not null")
+    centres = spark.sparkContext.broadcast(train_pivots(items, pivots))
+    placed = cut(_with_cell(items, centres))
     # One row per pivot.
     cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect()
-    numbers = np.array([c["cell"] for c in cells], dtype=np.int64)
-    radius = np.array([c["radius"] for c in cells])
-    sizes = np.array([c["n"] for c in cells], dtype=np.int64)
+    return Cells(
+        centres, placed, np.array([c["cell"] for c in cells], dtype=np.int64),
+        np.array([c["radius"] for c in cells]), np.array([c["n"] for c in cells], dtype=np.int64))
+
+
+@dataclass
+class Tuned:
+    """How many cells a query should visit, and what that gave on the sample: recall and share of the vectors compared."""
+
+    probes: int
+    recall: float
+    share: float
+
+
+def tune(cells: Cells, k: int, recall: float = 0.9, sample: int = 200) -> Tuned:
+    """The fewest cells by which a sample of the vectors finds that share of its true k neighbours.
+
+    `sample` rows of least id hash are searched exactly, in one scan of all vectors.
+    """
+    rows = cells.placed.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "vector").collect()
+    if not rows:
+        return Tuned(1, 1.0, 0.0)
+    truth = ranked(_scan(rows, cells.placed, k, True), k)
+    lies = truth.join(cells.placed.select(F.col("id").alias("item_id"), "cell"), "item_id").select("query_id", "cell").collect()
+    place = {r["id"]: i for i, r in enumerate(rows)}
+    near = _by_angle(_unit([r["vector"] for r in rows]), cells)
+    at_of = np.argsort(near, axis=1)  # place of each cell in a query's order
+    cell_at = {c: i for i, c in enumerate(cells.numbers.tolist())}
+    needed = np.sort([at_of[place[r["query_id"]], cell_at[r["cell"]]] + 1 for r in lies])
+    if not len(needed):
+        return Tuned(1, 1.0, 0.0)
+    # A few more than the sample needs, so that other queries reach the recall as well.
+    probes = int(needed[min(len(needed) - 1, int(np.ceil((recall + (1 - recall) / 3) * len(needed))) - 1)])
+    visited = cells.sizes[near[:, :probes]].sum(axis=1)
+    return Tuned(probes, float((needed <= probes).mean()), float(visited.mean() / cells.sizes.sum()))
+
+
+def _by_angle(unit: np.ndarray, cells: Cells) -> np.ndarray:
+    """The places of all cells, the nearest first."""
+    return np.argsort(-(unit @ cells.pivots.value[cells.numbers].T), axis=1, kind="stable")
+
+
+def search(
+    cells: Cells, queries: DataFrame, k: int, skip_self: bool = False, tile: int = TILE_ROWS, probes: int | None = None,
+) -> DataFrame:
+    """(query_id, item_id, similarity) of candidates that hold the k best of every query, or those of its `probes` nearest cells."""
+    from ..session import cut
+
+    if not len(cells.numbers):
+        return queries.sparkSession.createDataFrame([], OUT)
+    pivots, placed, numbers, radius, sizes = cells.pivots, cells.placed, cells.numbers, cells.radius, cells.sizes
     wanted = k + 1 if skip_self else k
     schema = queries.select("id", "vector").schema.simpleString()[7:-1].replace(":", " ")
 
@@ -149,6 +239,11 @@ def _by_cells(queries, items, k, skip_self, tile, n_pivots) -> DataFrame:
             if batch.empty:
                 continue
             scores = np.clip(_unit(batch["vector"]) @ pivots.value[numbers].T, -1.0, 1.0)
+            if probes is not None:
+                near = np.argsort(-scores, axis=1, kind="stable")[:, :probes]
+                row, col = np.repeat(np.arange(len(batch)), near.shape[1]), near.ravel()
+                yield batch.iloc[row].assign(cell=numbers[col].astype(np.int32))
+                continue
             angle = np.arccos(scores)
             # Slack covers the rounding of similarities before they are ranked.
             nearest_edge = angle - radius[None, :] - 2e-3
@@ -162,14 +257,17 @@ def _by_cells(queries, items, k, skip_self, tile, n_pivots) -> DataFrame:
 
     visiting = cut(queries.select("id", "vector").mapInPandas(visits, schema + ", cell int"))
     asked = {r["cell"]: r["n"] for r in visiting.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts_of = dict(zip(numbers.tolist(), sizes.tolist()))
 
     def split(counts: dict) -> Column:
         """Number of parts per cell that keep a part near `tile` rows."""
-        parts = F.create_map(*[F.lit(v) for c, n in counts.items() for v in (int(c), int(-(-n // tile)))])
+        several = [(int(c), int(-(-n // tile))) for c, n in counts.items() if n > tile]
+        if not several:
+            return F.lit(1)
+        parts = F.create_map(*[F.lit(v) for pair in several for v in pair])
         return F.coalesce(parts[F.col("cell")], F.lit(1))
 
-    item_parts = split({c["cell"]: c["n"] for c in cells})
-    query_parts = split(asked)
+    item_parts, query_parts = split(counts_of), split(asked)
     whole = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))
     hashed = lambda parts: F.pmod(F.xxhash64("id"), parts).cast("int")
     left = visiting.withColumn("qpart", hashed(query_parts)).withColumn("ipart", whole(item_parts))
@@ -191,25 +289,35 @@ def _by_cells(queries, items, k, skip_self, tile, n_pivots) -> DataFrame:
     return left.groupBy(*tile_key).cogroup(right.groupBy(*tile_key)).applyInPandas(match, OUT)
 
 
-def best_match(df: DataFrame, vector: str, targets: list, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """Add `target` and `similarity` of the most similar of at most `bound` targets.
+def best_match(df: DataFrame, vector: str, targets: list) -> DataFrame:
+    """Add `target` and `similarity` of the most similar of `targets`, (id, vector) pairs held by the driver.
 
-    `targets` are (id, vector) pairs. No shuffle: a matrix product per Arrow batch.
+    No shuffle: matrix products per Arrow batch, a block of targets at a time. A row
+    without a vector gets no target.
     """
-    if len(targets) > bound:
-        raise ValueError(f"{len(targets)} targets exceed the bound of {bound}; use nearest()")
-    order = sorted(targets, key=lambda t: t[0])
+    order = sorted((t for t in targets if t[1] is not None), key=lambda t: t[0])
+    if not order:
+        return df.withColumn("target", F.lit(None).cast("bigint")).withColumn("similarity", F.lit(None).cast("double"))
     ids = np.array([t[0] for t in order], dtype=np.int64)
-    matrix = df.sparkSession.sparkContext.broadcast(_unit([t[1] for t in order])) if order else None
+    matrix = df.sparkSession.sparkContext.broadcast(_unit([t[1] for t in order]))
 
     @F.pandas_udf("struct<target bigint, similarity double>")
     def match(column: pd.Series) -> pd.DataFrame:
-        scores = np.round(_unit(column) @ matrix.value.T, DIGITS)
-        at = scores.argmax(axis=1)  # first maximum = smallest id
-        return pd.DataFrame({"target": ids[at], "similarity": scores[np.arange(len(at)), at]})
-
-    if not order:
-        return df.withColumn("target", F.lit(None).cast("bigint")).withColumn("similarity", F.lit(None).cast("double"))
-    return df.withColumn("_m", match(vector)).withColumn("target", F.col("_m.target")).withColumn(
-        "similarity", F.col("_m.similarity")
-    ).drop("_m")
+        known = column.notna().to_numpy()
+        target = pd.Series(pd.NA, index=range(len(column)), dtype="Int64")
+        similarity = np.full(len(column), np.nan)
+        if known.any():
+            unit = _unit(column[known])
+            best, at = np.full(len(unit), -np.inf), np.zeros(len(unit), dtype=np.int64)
+            for start in range(0, len(ids), BLOCK):
+                scores = np.round(unit @ matrix.value[start:start + BLOCK].T, DIGITS)
+                first = scores.argmax(axis=1)  # first maximum = smallest id
+                score = scores[np.arange(len(unit)), first]
+                better = score > best
+                best, at = np.where(better, score, best), np.where(better, start + first, at)
+            target[known], similarity[known] = ids[at], best
+        return pd.DataFrame({"target": target, "similarity": similarity})
+
+    found = df.withColumn("_m", match(vector))
+    return found.withColumn("target", F.col("_m.target")).withColumn(
+        "similarity", F.when(F.col("_m.target").isNotNull(), F.col("_m.similarity"))).drop("_m")

@@ -1,4 +1,4 @@
-from . import activity, answers, risk, stories, streams, texts  # noqa: F401
+from . import activity, answers, events, risk, stories, streams, texts  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

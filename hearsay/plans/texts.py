@@ -89,16 +89,17 @@ def page_articles(spark, folder):
     return extract_article(pages(spark, folder)).select("page_id", "title", "lang", "text")
 
 
-@query("merged_mentions", f"""
-WITH {ADDRESS_SQL}, {PAGE_SQL}
+MENTIONS_SQL = """
 SELECT 'news:page:' || a.page_id AS mention_id, 'news' AS platform, d.site, CAST(NULL AS VARCHAR) AS author_id,
        d.site || d.path AS url, a.lang, a.title, a.text, CAST(NULL AS TIMESTAMP) AS published_at, CAST(1.0 AS DOUBLE) AS weight
 FROM articles a JOIN addresses d ON d.page_id = a.page_id
 UNION ALL
 SELECT 'news:doc:' || doc_id, 'news', source, NULL, NULL, lang, NULL, text, NULL, 1.0 FROM documents
 UNION ALL
-SELECT 'social:' || event_id, 'social', event_type, CAST(user_id AS VARCHAR), NULL, NULL, NULL, props, ts, value FROM events""")
-def merged_mentions(spark, folder):
+SELECT 'social:' || event_id, 'social', event_type, CAST(user_id AS VARCHAR), NULL, NULL, NULL, props, ts, value FROM events"""
+
+
+def canonical_mentions(spark, folder):
     return tables.union_mentions(
         tables.mentions_from_pages(pages(spark, folder)),
         tables.mentions_from_articles(articles(spark, folder)),
@@ -106,6 +107,11 @@ def merged_mentions(spark, folder):
     )
 
 
+@query("merged_mentions", f"WITH {ADDRESS_SQL}, {PAGE_SQL} {MENTIONS_SQL}")
+def merged_mentions(spark, folder):
+    return canonical_mentions(spark, folder)
+
+
 @query("first_copies", f"""
 SELECT doc_id, lang, source, text FROM documents
 QUALIFY row_number() OVER (PARTITION BY {COPY_SQL} ORDER BY doc_id) = 1""")

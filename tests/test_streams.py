@@ -98,3 +98,29 @@ def test_a_burst_alerts_once_per_crossing(spark):
     found = spark.read.schema(bursts.ALERT).parquet(live.run_available(alerts)).where("topic = 1")
     # Days 5 and 6 both exceed the cut; one alert.
     assert [r.bucket.day for r in found.orderBy("bucket").collect()] == [5, 14]
+
+
+def rows_in_state(spark, progress, operator):
+    """What the burst processor holds after a run, read from its state store."""
+    states = spark.read.format("statestore").option("operatorId", operator).option("stateVarName", "past").load(progress)
+    return {r.topic for r in states.select("key.topic").collect()}
+
+
+def test_bursts_of_named_topics_end_and_are_forgotten(spark):
+    daily = {"storm": [2, 2, 2, 30, 0, 0, 0, 0, 0, 0, 0, 0, 0], "vote": [1, 1, 1, 1, 1, 1, 1, 1, 9, 2, 1, 1, 1]}
+    days = [[(at(1, i % 60, d + 1), t, "") for t, c in daily.items() for i in range(c[d])] for d in range(13)]
+    days += [[(at(1, 0, 15), "last", "")], [(at(1, 1, 15), "last", "")]]
+    path, progress, out = fresh_path(spark, "landing"), fresh_path(spark, "progress"), fresh_path(spark, "out")
+    schema = "ts timestamp_ntz, topic string, text string"
+    for rows in days:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    arriving = live.stream_mentions(spark, path, spark.createDataFrame([], schema).schema, max_files=1)
+    counts = live.live_counts(live.with_lateness(arriving, "ts", "2 hours"), "ts", "topic", "1 day")
+    alerts = bursts.burst_stream(counts, "1 day", turns=True)
+    assert dict(alerts.dtypes)["topic"] == "string"
+    live.start(alerts, progress, out).awaitTermination()
+    found = [(r.topic, r.bucket.day, r.n, r.rising) for r in spark.read.parquet(out).orderBy("topic", "bucket").collect()]
+    # The storm ends on its first silent day, the vote on the first day below the cut.
+    assert found == [("storm", 4, 30, True), ("storm", 5, 0, False), ("vote", 9, 9, True), ("vote", 10, 2, False)]
+    # Seven silent days after its last mention the storm is no longer held; the vote is.
+    assert rows_in_state(spark, progress, 0) == {"vote"}
