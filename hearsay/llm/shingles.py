@@ -6,11 +6,15 @@ values each; two texts of similarity s share a key with the chance
 What shares a key is compared by its whole sets, so nothing is linked by chance.
 
 All pairs of a large family are not needed, only links that connect it: first every
-text of a key is compared to the least one of the key. In keys that this leaves in
-several components each text is compared to the likeliest of every other component,
-and at last all texts of components that are still apart. From the second step on,
-pairs whose sketches (one byte of each least value) agree in fewer than SKETCHED of
-all places are left out: at 0.8 that is more than four standard deviations away.
+text of a key is compared to the least one of the key. Texts of keys that this leaves in
+several components are open. They are joined on their shingles by the prefix filter:
+two sets of similarity s share one of the rarest n - ceil(s * n) + 1 shingles of either,
+and where they first meet, what lies behind bounds what they can have in common. A text
+that has met nothing in its first ninth (at 0.8) only fits one that did, so a crowd of texts
+each of which has that much of its own is never paired at all. First one pair is compared
+for any two components that meet in a shingle, then, of those still apart, all that fit. Pairs
+whose sketches (one byte of each least value) agree in fewer than SKETCHED of all
+places are left out: at 0.8 that is more than four standard deviations away.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.skew import spread_join
 from ..operators.grouping import components
@@ -34,7 +38,6 @@ ROWS, BANDS = 5, 32
 PIECE = 256
 SKETCHED = 0.7
 PLACES = 320  # least values of the sketch; the first ROWS * BANDS of them make the keys
-LIKELIEST = 2
 
 _SOURCE = np.random.default_rng(SEED)
 _TIMES = _SOURCE.integers(0, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -98,48 +101,77 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys[other]), pa.array(least[other]), pa.array(own[other])], names=["key", "a", "b"])
 
 
-def apart(own: np.ndarray, labels: np.ndarray, sketches: np.ndarray, per: int | None) -> Iterator[np.ndarray]:
-    """Likely pairs of one key that lie in different components: with `per`, so many of each text and other component."""
-    n = len(own)
-    columns = np.ascontiguousarray(sketches.T)
-    step = max(1, (1 << 22) // n)
-    for start in range(0, n, step):
-        same = np.zeros((min(step, n - start), n), dtype=np.uint16)
-        for column in columns:
-            same += column[start:start + step, None] == column[None, :]
-        likely = (same >= SKETCHED * len(columns)) & (labels[start:start + step, None] != labels[None, :])
-        i, j = np.nonzero(likely)
-        if per is not None and len(i):
-            order = np.lexsort((j, -same[i, j].astype(np.int64), labels[j], i))
-            i, j = i[order], j[order]
-            first = np.concatenate([[True], (i[1:] != i[:-1]) | (labels[j][1:] != labels[j][:-1])])
-            place = np.arange(len(i)) - np.flatnonzero(first)[np.cumsum(first) - 1]
-            i, j = i[place < per], j[place < per]
-        yield np.unique(np.sort(np.stack([own[start + i], own[j]], axis=1), axis=1), axis=0)
-
-
-def crossing(rest: DataFrame, per: int | None) -> DataFrame:
-    """(a, b) of `apart` for every key of (key, h, label, keys)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def pairs_of(group):
-            own, labels = np.array([g[1] for g in group]), np.array([g[2] for g in group])
-            sketches = np.frombuffer(b"".join([g[3][8 * BANDS:] for g in group]), dtype=np.uint8).reshape(len(group), -1)
-            for pairs in apart(own, labels, sketches, per):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for h, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found = np.frombuffer(raw, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(found), h)), pa.array(np.full(len(found), len(found), dtype=np.int32)), pa.array(found)],
+                names=["h", "n", "shingle"])
+
 
+def rare_shingles(sets: DataFrame, alike: float) -> DataFrame:
+    """(shingle, h, n, most, roomy) of the texts of (h, hashes): the rarest shingles of each that another has too.
+
+    `most` is the largest set that the text can be so similar to if it meets it first
+    in this shingle; the row is roomy if that is as large as the text itself.
+    """
+    rows = cut(sets.mapInArrow(_each_shingle, "h bigint, n int, shingle bigint"))
+    shared = cut(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    known = spread_join(rows, shared.select("shingle", F.col("n").alias("df")), "shingle", F.col("h"), shared)
+    common = known.groupBy("h", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("_common"))
+    alone = F.col("n") - F.size("_common")
+    length = F.col("n") - F.ceil(F.col("n") * F.lit(alike) - 1e-9).cast("int") + 1 - alone
+    placed = common.select("h", "n", alone.alias("_alone"), F.posexplode(
+        F.slice("_common", F.lit(1), F.greatest(F.least(length, F.size("_common")), F.lit(0)))).alias("_at", "_pair"))
+    left = F.col("n") - F.col("_alone") - F.col("_at")
+    most = F.floor(left * F.lit((1 + alike) / alike) - F.col("n") + 1e-6).cast("int")
+    return placed.select(F.col("_pair.shingle").alias("shingle"), "h", "n", most.alias("most")).withColumn("roomy", F.col("most") >= F.col("n"))
+
+
+def _meetings(rare: DataFrame) -> DataFrame:
+    """(shingle, label, _label): components that meet in a shingle, the first with a roomy row there."""
+    sides = rare.groupBy("shingle", "label").agg(F.max("roomy").alias("roomy"))
+    open_ = sides.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.max("roomy").alias("roomy")).where("n > 1 and roomy")
+    sides = cut(sides.join(open_.select("shingle"), "shingle"))
+    other = sides.select("shingle", F.col("label").alias("_label"), F.col("roomy").alias("_roomy"))
+    # Of two roomy sides the smaller label comes first, so no two rows say the same.
+    return sides.where("roomy").join(other, "shingle").where("label < _label or (label <> _label and not _roomy)").select("shingle", "label", "_label")
+
+
+def _paired(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def one_each(rare: DataFrame) -> DataFrame:
+    """(a, b): for any two components that meet in a shingle, the largest sets of either that may fit there."""
+    place = F.struct("most", "h", "n")
+    tops = rare.groupBy("shingle", "label").agg(F.max(place).alias("_top"))
+    met = _meetings(rare).join(tops, ["shingle", "label"]).join(
+        tops.select("shingle", F.col("label").alias("_label"), F.col("_top").alias("_other")), ["shingle", "_label"])
+    one = met.groupBy("label", "_label").agg(F.min(F.struct("_top", "_other")).alias("_pair"))
+    return one.select(*_paired("_pair._top.h", "_pair._other.h")).distinct()
+
+
+def all_fitting(rare: DataFrame) -> DataFrame:
+    """(a, b): all texts of two components that meet in a shingle and may be alike."""
+    other = rare.select("shingle", F.col("label").alias("_label"), F.col("h").alias("_h"), F.col("n").alias("_n"), F.col("most").alias("_most"))
+    met = _meetings(rare).join(rare.drop("roomy"), ["shingle", "label"]).join(other, ["shingle", "_label"]).where("n <= _most and _n <= most")
+    return met.select(*_paired("h", "_h")).distinct()
+
+
+def likely(pairs: DataFrame, keyed: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches agree in SKETCHED of all places."""
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(column.to_pylist() for column in batch.columns)):
-                if held and held[0][0] != row[0]:
-                    yield from pairs_of(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield from pairs_of(held)
+            one, two = (np.frombuffer(b"".join(k[8 * BANDS:] for k in batch.column(i).to_pylist()), dtype=np.uint8).reshape(len(batch), -1) for i in (2, 3))
+            same = (one == two).mean(axis=1) >= SKETCHED if len(batch) else np.zeros(0, dtype=bool)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(same, pa.bool_()))
 
-    sorted_ = rest.select("key", "h", "label", "keys").repartition(partitions(rest.sparkSession), "key").sortWithinPartitions("key", "h")
-    return sorted_.mapInArrow(run, "a bigint, b bigint").distinct()
+    counts = cut(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
+    second = pairs.join(keyed.select(F.col("h").alias("b"), F.col("keys").alias("_two")), "b")
+    met = spread_join(second, keyed.select(F.col("h").alias("a"), F.col("keys").alias("_one")), "a", F.col("b"), counts)
+    return met.select("a", "b", "_one", "_two").mapInArrow(compare, "a bigint, b bigint")
 
 
 def text_sets(texts: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
@@ -192,13 +224,24 @@ def alike_links(
     sets = cut(text_sets(texts, wanted, words))
     links = known.unionByName(_verified(stars, sets, alike))
     several = cut(met.select("key", F.col("b").alias("h")).unionByName(met.select("key", F.col("a").alias("h")).distinct()))
+    labels = _labels(links)
+    labelled = several.join(labels, "h", "left").withColumn("label", F.coalesce("label", "h"))
+    # Two texts of a key have been compared already.
+    open_ = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
+    texts_open = cut(labelled.join(open_.where("n > 2 and x <> y").select("key"), "key", "left_semi").select("h").distinct())
+    if texts_open.isEmpty():
+        return links
+    rare = cut(rare_shingles(sets.join(texts_open, "h", "left_semi"), alike))
+    sketches = keyed.join(texts_open, "h", "left_semi").select("h", "keys")
     tested = stars
-    for per in (LIKELIEST, None):
-        labels = components(links, "a", "b").select(F.col("id").alias("h"), F.col("event_id").alias("label"))
-        labelled = cut(several.join(labels, "h", "left").withColumn("label", F.coalesce("label", "h")))
-        # Two texts of a key have been compared already.
-        open_ = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
-        rest = labelled.join(open_.where("n > 2 and x <> y").select("key"), "key", "left_semi").join(keyed.select("h", "keys"), "h")
-        pairs = cut(crossing(rest, per).join(tested, ["a", "b"], "left_anti"))
-        tested, links = tested.unionByName(pairs), links.unionByName(_verified(pairs, sets, alike))
+    for choose in (one_each, all_fitting):
+        now = cut(rare.join(labels, "h", "left").withColumn("label", F.coalesce("label", "h")))
+        pairs = cut(choose(now).join(tested, ["a", "b"], "left_anti"))
+        found = _verified(cut(likely(pairs, sketches)), sets, alike)
+        tested, links = tested.unionByName(pairs), links.unionByName(found)
+        labels = _labels(links)
     return links
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    return cut(components(links, "a", "b").select(F.col("id").alias("h"), F.col("event_id").alias("label")))
