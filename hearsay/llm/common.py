@@ -64,15 +64,16 @@ def fold(id: Column, folds: int) -> Column:
 
 def label_sample(
     docs: DataFrame, labels: DataFrame, label: str, held_out: Column,
-    per_class: int, max_chars: int, id: str = "doc_id", text: str = "text",
+    per_class: int, most_chars: int, id: str = "doc_id", text: str = "text",
 ) -> tuple[list[tuple[str, int]], float]:
     """([(text, label)], share of label 1): a bounded sample of labelled rows outside the held-out fold.
 
-    At most `per_class` rows of either label, those of the smallest hash of their
-    id, and of each the first `max_chars` characters: the bound of what reaches the
-    driver, for fitting only. `held_out` is a condition on the column `_id`. Rows
-    with null id, null label or another label than 0 and 1 teach nothing; of several
-    labels of an id the larger counts.
+    At most `per_class` rows of either label, in the order of a hash of their id, as
+    long as their whole texts sum up to `most_chars` characters (a row that would
+    exceed them is passed over): the bounds of what reaches the driver, for fitting only.
+    `held_out` is a condition on the column `_id`. Rows with null id, null label or another
+    label than 0 and 1 teach nothing; of several labels of an id the larger counts, of several
+    texts the least.
     """
     known = (
         labels.select(F.col(id).cast("bigint").alias("_id"), F.col(label).cast("int").alias("_label"))
@@ -86,12 +87,21 @@ def label_sample(
     for value in (0, 1):
         first = known.where(F.col("_label") == value).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
         picked += [(r["_id"], value) for r in first.select("_id").collect()]
-    chosen = F.broadcast(spark.createDataFrame(picked, "_id bigint, _label int"))
-    rows = (
-        id_and_text(docs, id, text).join(chosen, "_id")
-        .select("_id", "_label", F.substring(F.coalesce("_text", F.lit("")), 1, max_chars).alias("_text"))
-        .groupBy("_id", "_label").agg(F.min("_text").alias("_text")).collect()
-    )
+
+    def of(ids: list[tuple[int, int]]) -> DataFrame:
+        chosen = F.broadcast(spark.createDataFrame(ids, "_id bigint, _label int"))
+        rows = id_and_text(docs, id, text).join(chosen, "_id")
+        return rows.select("_id", "_label", F.coalesce("_text", F.lit("")).alias("_text"))
+
+    lengths = {(r["_id"], r["_label"]): r["n"] for r in of(picked).groupBy("_id", "_label").agg(F.max(F.length("_text")).alias("n")).collect()}
+    fit, left = [], {0: most_chars, 1: most_chars}
+    for key in sorted(lengths, key=lambda k: (hash_of(k[0]), k[0])):
+        if lengths[key] <= left[key[1]]:
+            left[key[1]] -= lengths[key]
+            fit.append(key)
+    if not fit:
+        return [], sizes[1] / (sizes[0] + sizes[1])
+    rows = of(fit).groupBy("_id", "_label").agg(F.min("_text").alias("_text")).collect()
     rows.sort(key=lambda r: (hash_of(r["_id"]), r["_id"]))
     return [(r["_text"], r["_label"]) for r in rows], sizes[1] / (sizes[0] + sizes[1])
 

@@ -14,7 +14,10 @@ DICTIONARY_BYTES = 1 << 16
 LEVEL = 3
 PIECE = 1024
 PER_CLASS = 2_000
-MAX_CHARS = 4_000
+MOST_CHARS = 8_000_000
+PARTS = 4
+# Bytes added to a text's length: what a frame takes of its own counts little.
+DAMPED = 100
 FOLDS = 5
 THRESHOLD = 0.3
 
@@ -46,7 +49,9 @@ class QualityModel:
 
 
 def _measure(good: bytes, bad: bytes):
-    """text -> sizes under both dictionaries, normalised; pieces keep the dictionaries in reach of long texts."""
+    """text -> the normalised difference of its sizes under both dictionaries, of the whole and of its worst and best piece, and
+    how far the good one compresses it, damped for short texts. Pieces keep the dictionaries in reach of long texts.
+    """
     def compressor(content: bytes):
         kind = zstandard.DICT_TYPE_AUTO
         data = zstandard.ZstdCompressionDict(content, dict_type=kind)
@@ -64,8 +69,7 @@ def _measure(good: bytes, bad: bytes):
             a, b = a + u, b + v
             gap = (v - u) / (u + v)
             least, most = min(least, gap), max(most, gap)
-        n = max(1, len(raw))
-        return (b - a) / (a + b), a / n, b / n, float(np.log(n)), least, most
+        return (b - a) / (a + b), least, most, a / (len(raw) + DAMPED)
 
     return measure
 
@@ -88,26 +92,37 @@ def _dictionary(texts: list[str]) -> bytes:
 
 def train_quality(
     docs: DataFrame, labels: DataFrame, held_out: Column | None = None, label: str = "quality",
-    per_class: int = PER_CLASS, max_chars: int = MAX_CHARS, id: str = "doc_id", text: str = "text",
+    per_class: int = PER_CLASS, most_chars: int = MOST_CHARS, id: str = "doc_id", text: str = "text",
 ) -> QualityModel:
-    """Dictionaries from one half of the label sample, calibration from the other half.
+    """Dictionaries from the label sample, calibrated on texts they were not made from.
 
-    The sample is bounded by `per_class` rows of either label and `max_chars`
-    characters of each. With one class only, or none, the score is the share of
-    label 1 (0.5 without labels).
+    The sample is bounded by `per_class` rows of either label and `most_chars`
+    characters of either; whole texts are used. It falls into PARTS; each part is measured
+    by dictionaries of the others, which gives the calibration as many texts as there
+    are. The dictionaries kept are those of all. With one class only, or none, or too few
+    rows to leave a part out, the score is the share of label 1 (0.5 without labels).
     """
     apart = fold(F.col("_id"), FOLDS) == 0 if held_out is None else held_out
-    sample, share = label_sample(docs, labels, label, apart, per_class, max_chars, id, text)
-    halves = [sample[0::2], sample[1::2]]
-    by_class = [[t for t, k in halves[0] if k == v] for v in (0, 1)]
-    y = np.array([k for _, k in halves[1]])
-    if not by_class[0] or not by_class[1] or len(set(y.tolist())) < 2:
+    sample, share = label_sample(docs, labels, label, apart, per_class, most_chars, id, text)
+    y = np.array([k for _, k in sample])
+    if min((y == 0).sum(), (y == 1).sum()) < 2:
         return QualityModel(b"", b"", (), (), (), (), (), share)
-    bad, good = _dictionary(by_class[0]), _dictionary(by_class[1])
-    measure = _measure(good, bad)
-    raw = np.array([measure(t) for t, _ in halves[1]])
+    part = np.zeros(len(y), dtype=int)
+    for value in (0, 1):  # both classes in every part, as far as they go
+        part[y == value] = np.arange((y == value).sum()) % PARTS
+
+    def dictionaries(apart: int | None) -> tuple[bytes, bytes]:
+        kept = [(t, k) for (t, k), p in zip(sample, part) if p != apart]
+        return tuple(_dictionary([t for t, k in kept if k == v]) for v in (1, 0))
+
+    raw = np.zeros((len(y), 4))
+    for p in sorted(set(part.tolist())):
+        measure = _measure(*dictionaries(p))
+        for i in np.flatnonzero(part == p):
+            raw[i] = measure(sample[i][0])
+    good, bad = dictionaries(None)
     mean, scale = raw.mean(axis=0), raw.std(axis=0) + 1e-6
-    weights = fit_logistic(_expand(raw, mean, scale), y, class_weights(y, share), ridge=0.1)
+    weights = fit_logistic(_expand(raw, mean, scale), y, class_weights(y, share), ridge=0.3)
     as_tuple = lambda a: tuple(map(float, a))
     return QualityModel(good, bad, as_tuple(weights), as_tuple(mean), as_tuple(scale),
                         as_tuple(raw.min(axis=0)), as_tuple(raw.max(axis=0)), share)
