@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import fresh_path
@@ -30,10 +31,10 @@ from .common import BATCH_ROWS, id_and_text, ordered_chunks, partitions
 
 END_ID = 1
 BLOCK_IDS = 1 << 18
-# Words whose ids a task keeps, and as many older ones.
-WORD_STORE = 180_000
-# New words gathered before they are encoded together, and words held until then.
-LEARN_WORDS, HELD_WORDS = 8_192, 100_000
+# Pieces of words whose ids a task keeps, and as many older ones.
+PIECE_STORE = 200_000
+# Bytes of the texts whose words are looked up together.
+SLICE_BYTES = 4 << 20
 
 BLOCKS = "chunk int, block int, width int, n_ids bigint, ids binary, doc_ids array<bigint>, offsets array<bigint>"
 
@@ -66,20 +67,52 @@ def unpack(packed: bytes, width: int, first: int, n: int) -> np.ndarray:
     return np.packbits(full, axis=1).view(">u4").ravel().astype(np.uint32)
 
 
+def gather(flat: np.ndarray, first: np.ndarray, size: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """The runs flat[first[i]:first[i] + size[i]] for every i of index, one after another."""
+    lengths = size[index]
+    ends = np.cumsum(lengths)
+    if not len(ends):
+        return flat[:0]
+    return flat[np.repeat(first[index] - (ends - lengths), lengths) + np.arange(ends[-1])]
+
+
+class Known:
+    """Ids of pieces: `slot` names a piece's place in `first` and `size`, its run of `flat`."""
+
+    def __init__(self):
+        self.slot: dict[bytes, int] = {}
+        self.flat, self.used = np.zeros(1 << 12, dtype=np.uint32), 0
+        self.first, self.size = np.zeros(1 << 10, dtype=np.int64), np.zeros(1 << 10, dtype=np.int64)
+
+    def add(self, pieces: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Ids of new pieces, one run after another."""
+        n, self.used = len(self.slot), self.used + len(ids)
+        while self.used > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + len(pieces) > len(self.first):
+            self.first, self.size = (np.concatenate([a, np.zeros_like(a)]) for a in (self.first, self.size))
+        start = self.used - len(ids)
+        self.flat[start:self.used] = ids
+        self.size[n:n + len(pieces)] = sizes
+        self.first[n:n + len(pieces)] = start + np.cumsum(sizes) - sizes
+        self.slot.update(zip(pieces, range(n, n + len(pieces))))
+
+
 class WordEncoder:
-    """text -> ids of the whole text, encoding each distinct word once.
+    """Texts -> ids of the whole texts, encoding each distinct word once.
 
     For a tokenizer that drops white space: its pieces never span it, so the ids of
     a text are those of its words one after another. What else its own normaliser
     and pre-tokenizer do is asked of them: where they part letters from marks, a word
     and the marks behind it are looked up apart; where they fold case, ASCII words
-    are looked up in lower case. Many words go to the library in one call, parted by
-    a control character of one id, or, if all are ASCII letters and the model marks the
-    ends of words, by those ends.
+    are looked up in lower case. Words are found, folded and put together again for
+    many texts at once; only distinct pieces are looked up one by one. Many new ones go
+    to the library in one call, parted by a control character of one id, or, if all are ASCII
+    letters and the model marks the ends of words, by those ends.
     """
 
     MARK = "\x01"
-    TAIL = b".,!?;:"
+    TAIL = ".,!?;:"
 
     def __init__(self, content: str):
         from tokenizers import Tokenizer
@@ -87,8 +120,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(content)
         mark = self._ids(self.MARK)
         self.mark = mark[0] if len(mark) == 1 else None
-        self.recent: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.recent, self.older = Known(), Known()
         cutter, normalizer = self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
         self.parts = cutter is not None and [p for p, _ in cutter.pre_tokenize_str("ab.!,;:?cd")] == ["ab", ".!,;:?", "cd"]
         self.folds = normalizer is not None and normalizer.normalize_str("AbZ") == "abz"
@@ -102,82 +134,121 @@ class WordEncoder:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def learn(self, words: list[bytes]) -> None:
-        """Put the ids of new words into the store."""
-        recent, made = self.recent, []
-        for w in words:
-            stem = w.rstrip(self.TAIL) if self.parts else w
-            pieces = (stem, w[len(stem):]) if len(stem) < len(w) and stem.isalpha() else (w,)
-            made.append((w, tuple(p.lower() if self.folds and p.isascii() else p for p in pieces)))
-        new = {p for _, pieces in made for p in pieces if p not in recent}
-        letters = [p for p in new if p.isalpha()] if self.ends is not None else []  # of bytes: ASCII letters only
-        if not self._by_ends(letters):
-            letters = []
-        self._by_marks(list(new.difference(letters)))
-        for w, pieces in made:
-            if w not in recent:
-                recent[w] = recent[pieces[0]] if len(pieces) == 1 else recent[pieces[0]] + recent[pieces[1]]
-
-    def _by_ends(self, words: list[bytes]) -> bool:
-        """Words that are one piece each; False if the library sees it otherwise."""
-        for a in range(0, len(words), 512):
-            group = words[a:a + 512]
+    def _batch(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+
+    def _by_ends(self, pieces: list[bytes]) -> bool:
+        """Pieces that are one word each; False if the library sees it otherwise."""
+        for a in range(0, len(pieces), 1024):
+            group = pieces[a:a + 1024]
             ids = self._batch(b" ".join(group).decode())
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(group) or ends[-1] != len(ids):
                 return False
-            self._store(group, ids, np.concatenate([[0], ends[:-1]]), ends)
+            self.recent.add(group, ids, np.diff(ends, prepend=0))
         return True
 
-    def _by_marks(self, words: list[bytes]) -> None:
+    def _by_marks(self, pieces: list[bytes]) -> None:
         mark = self.MARK.encode()
-        alone = [w for w in words if self.mark is None or mark in w]
+        alone = [w for w in pieces if self.mark is None or mark in w]
         for w in alone:
-            self.recent[w] = np.array(self._ids(w.decode("utf-8", "replace")), dtype="<u4").tobytes()
-        plain = words if not alone else [w for w in words if w not in set(alone)]
-        for a in range(0, len(plain), 512):
-            group = plain[a:a + 512]
+            ids = np.array(self._ids(w.decode("utf-8", "replace")), dtype=np.uint32)
+            self.recent.add([w], ids, np.array([len(ids)]))
+        plain = pieces if not alone else [w for w in pieces if w not in set(alone)]
+        for a in range(0, len(plain), 1024):
+            group = plain[a:a + 1024]
             ids = self._batch((b" " + mark + b" ").join(group).decode("utf-8", "replace"))
             marks = np.flatnonzero(ids == self.mark)
             if len(marks) != len(group) - 1:
                 raise ValueError("the tokenizer joins words across white space")
-            self._store(group, ids, np.concatenate([[0], marks + 1]), np.append(marks, len(ids)))
-
-    def _batch(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-
-    def _store(self, words: list[bytes], ids: np.ndarray, first: np.ndarray, end: np.ndarray) -> None:
-        raw = ids.tobytes()
-        self.recent.update((w, raw[a:b]) for w, a, b in zip(words, (first * 4).tolist(), (end * 4).tolist()))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text. Words of the last WORD_STORE or so are kept; those met again stay."""
-        out, waiting, fresh, held = [], [], set(), 0
-
-        def finish():
-            self.learn(list(fresh))
-            get = self.recent.__getitem__
-            out.extend(np.frombuffer(b"".join(map(get, words)), dtype="<u4") for words in waiting)
-            waiting.clear()
-            fresh.clear()
-            if len(self.recent) > WORD_STORE:
-                self.older, self.recent = self.recent, {}
-
-        for text in texts:
-            words = text.encode("utf-8", "replace").split()
-            waiting.append(words)
-            held += len(words)
-            for w in set(words).difference(self.recent):
-                known = self.older.get(w)
-                if known is None:
-                    fresh.add(w)
-                else:
-                    self.recent[w] = known
-            if len(fresh) >= LEARN_WORDS or held >= HELD_WORDS:
-                finish()
-                held = 0
-        finish()
-        return out
+            sizes = np.diff(np.append(marks, len(ids)), prepend=-1) - 1
+            self.recent.add(group, ids[ids != self.mark], sizes)
+
+    def _slots(self, pieces: list[bytes]) -> np.ndarray:
+        """Places of distinct pieces in the recent store, which learns those it lacks from the older one or the library."""
+        if len(self.recent.slot) > PIECE_STORE:
+            self.older, self.recent = self.recent, Known()
+        missing = [p for p in pieces if p not in self.recent.slot]
+        if missing:
+            held = list(map(self.older.slot.get, missing))
+            old = np.array([s for s in held if s is not None], dtype=np.int64)
+            if len(old):
+                self.recent.add([p for p, s in zip(missing, held) if s is not None],
+                                gather(self.older.flat, self.older.first, self.older.size, old), self.older.size[old])
+            new = [p for p, s in zip(missing, held) if s is None]
+            letters = [p for p in new if p.isalpha()] if self.ends is not None else []  # of bytes: ASCII letters only
+            if letters and not self._by_ends(letters):
+                letters = [p for p in letters if p in self.recent.slot]
+            self._by_marks([p for p in new if p not in self.recent.slot] if letters else new)
+        return np.fromiter(map(self.recent.slot.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+
+    def _pieces(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(pieces, which words have a tail, the tails): distinct words as what is looked up of them, tails last."""
+        stems, tailed = words, np.zeros(len(words), dtype=bool)
+        tails = words.slice(0, 0)
+        if self.parts:
+            bare = pc.utf8_rtrim(words, characters=self.TAIL)
+            longer = np.asarray(pc.binary_length(words)) - np.asarray(pc.binary_length(bare))
+            tailed = (longer > 0) & pc.ascii_is_alpha(bare).to_numpy(zero_copy_only=False)
+            stems = pc.if_else(pa.array(tailed), bare, words)
+            of = np.where(tailed, longer, 0)
+            parts = [words.filter(pa.array(of == k)).cast(pa.large_binary()) for k in np.unique(of[tailed])]
+            cut = [pc.binary_slice(p, -int(k)).cast(pa.large_string()) for p, k in zip(parts, np.unique(of[tailed]))]
+            order = np.concatenate([np.flatnonzero(of == k) for k in np.unique(of[tailed])]) if cut else np.zeros(0, dtype=np.int64)
+            if cut:
+                tails = pa.concat_arrays(cut).take(pa.array(np.argsort(order, kind="stable")))
+        if self.folds:
+            stems = pc.if_else(pc.string_is_ascii(stems), pc.ascii_lower(stems), stems)
+        return pa.concat_arrays([stems, tails]), tailed, np.flatnonzero(tailed)
+
+    def _flat(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds of the texts in them) of texts that lie in `data` between `bounds`."""
+        inside = _SOLID[data]
+        edge = np.zeros(len(data) + 1, dtype=bool)
+        edge[bounds[:-1]] = True
+        starts = inside & (np.concatenate([[True], ~inside[:-1]])[:len(data)] | edge[:-1])
+        words_to = np.concatenate([[0], np.cumsum(starts, dtype=np.int64)])[bounds]
+        if not starts.any():
+            return np.zeros(0, dtype=np.uint32), np.zeros(len(bounds), dtype=np.int64)
+        place = np.cumsum(inside, dtype=np.int64)
+        offsets = np.append(place[starts] - 1, place[-1])
+        solid = data[inside]
+        words = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.tobytes()), pa.py_buffer(solid.tobytes()))
+        coded = words.dictionary_encode()
+        index, distinct = coded.indices.to_numpy(), coded.dictionary
+        pieces, tailed, at = self._pieces(distinct)
+        coded = pieces.dictionary_encode()
+        slots = self._slots(coded.dictionary.cast(pa.large_binary()).to_pylist())[coded.indices.to_numpy()]
+        # A word is its stem, then its tail if it has one.
+        n, known = len(distinct), self.recent
+        shift = np.concatenate([[0], np.cumsum(tailed)[:-1]])
+        run = np.empty(len(slots), dtype=np.int64)
+        run[np.arange(n) + shift] = slots[:n]
+        run[at + shift[at] + 1] = slots[n:]
+        size = known.size[slots[:n]].copy()
+        size[at] += known.size[slots[n:]]
+        flat = gather(known.flat, known.first, known.size, run)
+        ids = gather(flat, np.cumsum(size) - size, size, index)
+        return ids, np.concatenate([[0], np.cumsum(size[index])])[words_to]
+
+    def encode(self, texts: pa.Array | list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text, a null one being empty; some texts at a time, however long the batch."""
+        array = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        raw = array.cast(pa.large_string()).fill_null("")
+        bounds = np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset:raw.offset + len(raw) + 1]
+        data = np.frombuffer(raw.buffers()[2], dtype=np.uint8) if raw.buffers()[2] is not None else np.zeros(0, dtype=np.uint8)
+        at = 0
+        while at < len(raw):
+            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + SLICE_BYTES, side="right")) - 1)
+            ids, cuts = self._flat(data[bounds[at]:bounds[to]], bounds[at:to + 1] - bounds[at])
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                yield ids[a:b]
+            at = to
+
+
+# Bytes that are not white space.
+_SOLID = np.ones(256, dtype=bool)
+_SOLID[[0x20, *range(0x09, 0x0E)]] = False
 
 
 def tokenizer_file(path: str | None = None) -> str:
@@ -231,9 +302,8 @@ def write_packed(
             return pa.RecordBatch.from_arrays(names, names=["chunk", "block", "width", "n_ids", "ids", "doc_ids", "offsets"])
 
         for batch in batches:
-            table = batch.to_pydict()
-            coded = encoder.encode(["" if t is None else t for t in table["_text"]])
-            for of, doc, ids in zip(table["_chunk"], table["_id"], coded):
+            coded = encoder.encode(batch.column("_text"))
+            for of, doc, ids in zip(batch.column("_chunk").to_pylist(), batch.column("_id").to_pylist(), coded):
                 ids = np.concatenate([ids, end])
                 if open_ and (of != chunk or n + len(ids) > BLOCK_IDS):
                     yield close()

@@ -188,7 +188,8 @@ def test_bits_round_trip():
 
 def test_packed_documents(session, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK_IDS", 300)
-    monkeypatch.setattr(packing, "LEARN_WORDS", 20)
+    monkeypatch.setattr(packing, "PIECE_STORE", 20)
+    monkeypatch.setattr(packing, "SLICE_BYTES", 500)
     rng = random.Random(8)
     odd = ["a\x1cb c\xa0d e's İSTANBUL ΑΣ <|endoftext|>x", "x́ ́y a​b 你好 12 3", "a\x01b \x01 c", "don't THEY'RE"]
     texts = [words(rng, rng.randint(0, 90)) for _ in range(90)] + odd + ["", None]
