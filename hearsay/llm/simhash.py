@@ -166,13 +166,13 @@ def near_links(distinct: DataFrame) -> DataFrame:
 def keyed_fingerprints(docs: DataFrame, words: int, id: str, text: str) -> DataFrame:
     """(_id, fp, h, keys) of every row: also the hash of its words and the MinHash keys of its shingles."""
     def make():
+        def of(text):  # one text at a time, as words take many times its size
+            found = shingles.words_of(text)
+            return simhash(text, words), shingles.text_hash(found), shingles.band_keys(shingles.shingle_set(found))
+
         def work(texts):
-            found = [shingles.words_of(t) for t in texts]
-            return {
-                "fp": np.array([simhash(t, words) for t in texts], dtype=np.uint64).view(np.int64),
-                "h": np.array([shingles.text_hash(f) for f in found], dtype=np.uint64).view(np.int64),
-                "keys": [shingles.band_keys(shingles.shingle_set(f)) for f in found],
-            }
+            prints, names, keys = zip(*map(of, texts)) if texts else ((), (), ())
+            return {"fp": np.array(prints, dtype=np.uint64).view(np.int64), "h": np.array(names, dtype=np.uint64).view(np.int64), "keys": list(keys)}
         return work
 
     return map_texts(id_and_text(docs, id, text), make, "fp bigint, h bigint, keys binary")
