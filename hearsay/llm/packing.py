@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import fresh_path
-from .common import BATCH_ROWS, id_and_text, ordered_chunks, partitions
+from .common import id_and_text, ordered_chunks, partitions, tidy
 
 END_ID = 1
 BLOCK_IDS = 1 << 18
@@ -137,16 +137,19 @@ class WordEncoder:
     def _batch(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
 
-    def _by_ends(self, pieces: list[bytes]) -> bool:
-        """Pieces that are one word each; False if the library sees it otherwise."""
+    def _by_ends(self, pieces: list[bytes]) -> list[bytes]:
+        """Learn pieces of letters, one word each to the library; gives back those of a call in which it sees otherwise."""
+        left = []
         for a in range(0, len(pieces), 1024):
             group = pieces[a:a + 1024]
             ids = self._batch(b" ".join(group).decode())
             ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(group) or ends[-1] != len(ids):
-                return False
-            self.recent.add(group, ids, np.diff(ends, prepend=0))
-        return True
+            # A piece of letters gives one end at least, so as many ends as pieces are one each.
+            if len(ends) == len(group) and ends[-1] == len(ids):
+                self.recent.add(group, ids, np.diff(ends, prepend=0))
+            else:
+                left += group
+        return left
 
     def _by_marks(self, pieces: list[bytes]) -> None:
         mark = self.MARK.encode()
@@ -164,23 +167,27 @@ class WordEncoder:
             sizes = np.diff(np.append(marks, len(ids)), prepend=-1) - 1
             self.recent.add(group, ids[ids != self.mark], sizes)
 
-    def _slots(self, pieces: list[bytes]) -> np.ndarray:
+    def _slots(self, distinct: pa.Array) -> np.ndarray:
         """Places of distinct pieces in the recent store, which learns those it lacks from the older one or the library."""
         if len(self.recent.slot) > PIECE_STORE:
             self.older, self.recent = self.recent, Known()
-        missing = [p for p in pieces if p not in self.recent.slot]
-        if missing:
-            held = list(map(self.older.slot.get, missing))
+        pieces = distinct.cast(pa.large_binary()).to_pylist()
+        known = list(map(self.recent.slot.get, pieces))
+        lacking = [i for i, s in enumerate(known) if s is None]
+        if lacking:
+            alpha = pc.utf8_is_alpha(distinct).to_numpy(zero_copy_only=False)
+            held = [self.older.slot.get(pieces[i]) for i in lacking]
             old = np.array([s for s in held if s is not None], dtype=np.int64)
             if len(old):
-                self.recent.add([p for p, s in zip(missing, held) if s is not None],
+                self.recent.add([pieces[i] for i, s in zip(lacking, held) if s is not None],
                                 gather(self.older.flat, self.older.first, self.older.size, old), self.older.size[old])
-            new = [p for p, s in zip(missing, held) if s is None]
-            letters = [p for p in new if p.isalpha()] if self.ends is not None else []  # of bytes: ASCII letters only
-            if letters and not self._by_ends(letters):
-                letters = [p for p in letters if p in self.recent.slot]
-            self._by_marks([p for p in new if p not in self.recent.slot] if letters else new)
-        return np.fromiter(map(self.recent.slot.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+            new = [i for i, s in zip(lacking, held) if s is None]
+            letters = [pieces[i] for i in new if alpha[i]] if self.ends is not None else []
+            others = [pieces[i] for i in new if not alpha[i]] if self.ends is not None else [pieces[i] for i in new]
+            self._by_marks(others + self._by_ends(letters))
+            for i in lacking:
+                known[i] = self.recent.slot[pieces[i]]
+        return np.array(known, dtype=np.int64)
 
     def _pieces(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """(pieces, which words have a tail, the tails): distinct words as what is looked up of them, tails last."""
@@ -203,22 +210,25 @@ class WordEncoder:
 
     def _flat(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds of the texts in them) of texts that lie in `data` between `bounds`."""
-        inside = _SOLID[data]
-        edge = np.zeros(len(data) + 1, dtype=bool)
-        edge[bounds[:-1]] = True
-        starts = inside & (np.concatenate([[True], ~inside[:-1]])[:len(data)] | edge[:-1])
-        words_to = np.concatenate([[0], np.cumsum(starts, dtype=np.int64)])[bounds]
-        if not starts.any():
+        inside = _SOLID.take(data)
+        edge = inside.copy()  # first bytes of words
+        edge[1:] &= ~inside[:-1]
+        begins = bounds[:-1][bounds[:-1] < len(data)]
+        edge[begins] = inside[begins]
+        starts = np.flatnonzero(edge)
+        if not len(starts):
             return np.zeros(0, dtype=np.uint32), np.zeros(len(bounds), dtype=np.int64)
-        place = np.cumsum(inside, dtype=np.int64)
-        offsets = np.append(place[starts] - 1, place[-1])
+        words_to = np.searchsorted(starts, bounds)
+        # Without white space a word begins where so many solid bytes lie before it.
+        blank = np.flatnonzero(~inside)
+        offsets = np.append(starts - np.searchsorted(blank, starts), len(data) - len(blank))
         solid = data[inside]
-        words = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.tobytes()), pa.py_buffer(solid.tobytes()))
+        words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(solid))
         coded = words.dictionary_encode()
         index, distinct = coded.indices.to_numpy(), coded.dictionary
         pieces, tailed, at = self._pieces(distinct)
         coded = pieces.dictionary_encode()
-        slots = self._slots(coded.dictionary.cast(pa.large_binary()).to_pylist())[coded.indices.to_numpy()]
+        slots = self._slots(coded.dictionary)[coded.indices.to_numpy()]
         # A word is its stem, then its tail if it has one.
         n, known = len(distinct), self.recent
         shift = np.concatenate([[0], np.cumsum(tailed)[:-1]])
@@ -315,7 +325,7 @@ def write_packed(
         if open_:
             yield close()
 
-    dealt.mapInArrow(run, BLOCKS).write.parquet(path)
+    dealt.mapInArrow(tidy(run), BLOCKS).write.parquet(path)
     return path
 
 
@@ -345,7 +355,7 @@ def read_documents(blocks: DataFrame, id: str = "doc_id") -> DataFrame:
                     names=["_id", "start", "n_tokens", "ids_crc32"])
 
     found = blocks.select("width", "n_ids", "ids", "doc_ids", "offsets", "first").mapInArrow(
-        run, "_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+        tidy(run), "_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
     return found.select(F.col("_id").alias(id), "start", "n_tokens", "ids_crc32")
 
 
