@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +16,7 @@ from ..session import prepare
 
 # Rows and bytes of one Arrow batch: a Python worker holds a few batches, whatever the texts are like.
 BATCH_ROWS = 2_000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 # Documents of one ordered chunk, the unit that one task walks through in doc_id order.
 CHUNK_ROWS = 4_000
 
@@ -39,6 +41,24 @@ def id_and_text(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     return docs.select(F.col(id).cast("bigint").alias("_id"), F.col(text).cast("string").alias("_text"))
 
 
+def release() -> None:
+    """Give back what a task no longer needs: a Python worker lives on for other tasks, with all it once took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run`, which turns the batches of a task into others, and `release` after its last."""
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return tidied
+
+
 def map_texts(
     rows: DataFrame, make: Callable[[], Callable[[list[str]], dict]], columns: str
 ) -> DataFrame:
@@ -54,7 +74,7 @@ def map_texts(
             texts = ["" if t is None else t for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"_id": batch.column("_id"), **work(texts)}, schema=schema)
 
-    return rows.select("_id", "_text").mapInArrow(run, f"_id bigint, {columns}")
+    return rows.select("_id", "_text").mapInArrow(tidy(run), f"_id bigint, {columns}")
 
 
 def fold(id: Column, folds: int) -> Column:

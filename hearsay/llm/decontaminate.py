@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import code_points, id_and_text
+from .common import code_points, id_and_text, release, tidy
 
 Q = 10
 EDIT_SHARE = 0.08
@@ -270,7 +270,7 @@ def find_passages(
                 yield pa.RecordBatch.from_pydict(
                     {name: [h[k] for h in hits] for k, name in enumerate(FIELDS)}, schema=schema)
 
-        return rows.mapInArrow(run, HITS)
+        return rows.mapInArrow(tidy(run), HITS)
 
     parts = [search(_finder(spark, b, share, q)) for b in item_blocks(items, min_chars, item_id, item_text)]
     found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], HITS)
@@ -294,5 +294,6 @@ def _is_clean(make):
         block = make()
         for batch in batches:
             yield pd.Series([not own for own in block.find(["" if t is None else t for t in batch])], dtype=bool)
+        release()
 
     return clean

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.skew import spread_join
 from ..operators.grouping import components
 from ..session import cut
-from .common import partitions
+from .common import partitions, tidy
 
 WORDS = 5
 ALIKE = 0.8
@@ -116,7 +116,7 @@ def rare_shingles(sets: DataFrame, alike: float) -> DataFrame:
     `most` is the largest set that the text can be so similar to if it meets it first
     in this shingle; the row is roomy if that is as large as the text itself.
     """
-    rows = cut(sets.mapInArrow(_each_shingle, "h bigint, n int, shingle bigint"))
+    rows = cut(sets.mapInArrow(tidy(_each_shingle), "h bigint, n int, shingle bigint"))
     shared = cut(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     known = spread_join(rows, shared.select("shingle", F.col("n").alias("df")), "shingle", F.col("h"), shared)
     common = known.groupBy("h", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("_common"))
@@ -171,7 +171,7 @@ def likely(pairs: DataFrame, keyed: DataFrame) -> DataFrame:
     counts = cut(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
     second = pairs.join(keyed.select(F.col("h").alias("b"), F.col("keys").alias("_two")), "b")
     met = spread_join(second, keyed.select(F.col("h").alias("a"), F.col("keys").alias("_one")), "a", F.col("b"), counts)
-    return met.select("a", "b", "_one", "_two").mapInArrow(compare, "a bigint, b bigint")
+    return met.select("a", "b", "_one", "_two").mapInArrow(tidy(compare), "a bigint, b bigint")
 
 
 def text_sets(texts: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
@@ -186,8 +186,8 @@ def text_sets(texts: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFr
             sets = [shingle_set(words_of(t), words).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["h", "hashes"])
 
-    named = texts.select("_text").mapInArrow(name, "h bigint, _text string").join(wanted, "h", "left_semi")
-    return named.mapInArrow(shingle, "h bigint, hashes binary").dropDuplicates(["h"])
+    named = texts.select("_text").mapInArrow(tidy(name), "h bigint, _text string").join(wanted, "h", "left_semi")
+    return named.mapInArrow(tidy(shingle), "h bigint, hashes binary").dropDuplicates(["h"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
@@ -206,7 +206,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
     counts = cut(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
     second = pairs.join(sets.select(F.col("h").alias("b"), F.col("hashes").alias("_two")), "b")
     met = spread_join(second, sets.select(F.col("h").alias("a"), F.col("hashes").alias("_one")), "a", F.col("b"), counts)
-    return cut(met.select("a", "b", "_one", "_two").mapInArrow(compare, "a bigint, b bigint"))
+    return cut(met.select("a", "b", "_one", "_two").mapInArrow(tidy(compare), "a bigint, b bigint"))
 
 
 def alike_links(
@@ -217,8 +217,8 @@ def alike_links(
     Texts that the links (a, b) of `known` connect are not compared again.
     """
     spark = keyed.sparkSession
-    keys = keyed.select("h", "keys").mapInArrow(_explode, "key bigint, h bigint")
-    met = cut(keys.repartition(partitions(spark), "key").sortWithinPartitions("key", "h").mapInArrow(_stars, "key bigint, a bigint, b bigint"))
+    keys = keyed.select("h", "keys").mapInArrow(tidy(_explode), "key bigint, h bigint")
+    met = cut(keys.repartition(partitions(spark), "key").sortWithinPartitions("key", "h").mapInArrow(tidy(_stars), "key bigint, a bigint, b bigint"))
     stars = cut(met.select("a", "b").distinct())
     wanted = cut(stars.select(F.explode(F.array("a", "b")).alias("h")).distinct())
     sets = cut(text_sets(texts, wanted, words))

@@ -36,7 +36,7 @@ from ..functions.skew import spread_join
 from ..operators.grouping import components
 from ..session import cut
 from . import shingles
-from .common import id_and_text, map_texts, partitions
+from .common import id_and_text, map_texts, partitions, tidy
 
 WORDS = 3
 SEED = 42
@@ -158,9 +158,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_links(distinct: DataFrame) -> DataFrame:
     """(a, b): links within three bits that connect all such pairs of the distinct fingerprints in `fp`."""
-    emitted = distinct.select("fp").mapInArrow(_emit, "key bigint, fp bigint")
+    emitted = distinct.select("fp").mapInArrow(tidy(_emit), "key bigint, fp bigint")
     met = emitted.repartition(partitions(distinct.sparkSession), "key").sortWithinPartitions("key")
-    return met.mapInArrow(_meet, "a bigint, b bigint").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).distinct()
+    return met.mapInArrow(tidy(_meet), "a bigint, b bigint").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).distinct()
 
 
 def keyed_fingerprints(docs: DataFrame, words: int, id: str, text: str) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import class_weights, code_points, fit_logistic, fold, label_sample, sigmoid
+from .common import class_weights, code_points, fit_logistic, fold, label_sample, release, sigmoid
 
 ORDERS = (3, 4, 5, 6)
 BITS = 18
@@ -175,6 +175,7 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, column: str, text: str
         of = shared.value.scorer()
         for batch in batches:
             yield pd.Series(of(["" if t is None else t for t in batch]), dtype="float64")
+        release()
 
     return docs.withColumn(column, score(F.col(text)))
 
