@@ -10,13 +10,16 @@ from ..functions.text import tokens
 from ..session import cut
 
 K1, B = 1.2, 0.75
+# Most asked words that are looked up inside the scan: a set of a few MB.
+ASKED_WORDS = 50_000
 
 
 def bm25_topk(questions: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(question_id, doc_id, score, rank) of the k best passages per question.
 
     Both sides have (id bigint, text). Passages are tokenised once, into postings of
-    the asked words only, which are written; an empty word per passage carries its
+    the asked words only, which are written: up to ASKED_WORDS words are part of the plan, so
+    other words never become rows; more of them are joined. An empty word per passage carries its
     length, so passages without any asked word count too. Postings meet the questions
     on the word, a common word salted by passage, and weights are summed per question
     and passage in the map tasks first. Every passage that shares a word with a
@@ -26,13 +29,19 @@ def bm25_topk(questions: DataFrame, docs: DataFrame, k: int) -> DataFrame:
         questions.select(F.col("id").alias("question_id"), F.explode(tokens("text")).alias("term"))
         .groupBy("question_id", "term").agg(F.count(F.lit(1)).alias("times"))
     )
-    wanted = asked.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    terms = asked.select("term").distinct()
+    few = terms.limit(ASKED_WORDS + 1).collect()
     words = docs.select(F.col("id").alias("doc_id"), F.coalesce(tokens("text"), F.array().cast("array<string>")).alias("words"))
-    postings = cut(
-        words.select("doc_id", F.size("words").alias("length"), F.explode(F.concat("words", F.array(F.lit("")))).alias("term"))
-        .join(wanted, "term", "left_semi")
-        .groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    )
+    if len(few) <= ASKED_WORDS:
+        known = [r["term"] for r in few]
+        kept = F.filter("words", lambda t: t.isin(known)) if known else F.array().cast("array<string>")
+        found = words.select("doc_id", F.size("words").alias("length"), F.explode(F.concat(kept, F.array(F.lit("")))).alias("term"))
+    else:
+        wanted = terms.union(docs.sparkSession.createDataFrame([("",)], "term string"))
+        found = words.select(
+            "doc_id", F.size("words").alias("length"), F.explode(F.concat("words", F.array(F.lit("")))).alias("term")
+        ).join(wanted, "term", "left_semi")
+    postings = cut(found.groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf")))
     n_docs, mean = postings.where("term = ''").agg(F.count(F.lit(1)), F.avg("length")).first()
     found = postings.where("term <> ''")
     counts = cut(found.groupBy("term").agg(F.count(F.lit(1)).alias("n")))
@@ -84,23 +93,22 @@ def qa_pairs(dialogues: DataFrame) -> DataFrame:
     """(conv_id, question_turn, question, answer_turn, answer).
 
     A user turn and the next turn of the conversation, if that is the
-    assistant's; turns need not be numbered without gaps. Order is found on narrow rows, in
+    assistant's; turns need not be numbered without gaps. One shuffle orders the rows, in
     stretches of turn numbers, so a very long conversation spreads over many
     tasks; the first turn of every stretch is handed to the one before it.
     """
-    stretch = F.floor(F.col("turn") / STRETCH)
-    narrow = dialogues.select("conv_id", "turn", "role", stretch.alias("_stretch"))
+    turn = F.struct("turn", "role", "text")
+    rows = dialogues.select("conv_id", "turn", "role", "text", F.floor(F.col("turn") / STRETCH).alias("_stretch"))
     inside = Window.partitionBy("conv_id", "_stretch").orderBy("turn")
-    local = narrow.withColumn("_next", F.lead(F.struct("turn", "role")).over(inside))
-    heads = narrow.groupBy("conv_id", "_stretch").agg(F.min_by(F.struct("turn", "role"), "turn").alias("_head"))
-    following = heads.withColumn("_after", F.lead("_head").over(Window.partitionBy("conv_id").orderBy("_stretch")))
-    edges = local.where("_next is null").join(following.select("conv_id", "_stretch", "_after"), ["conv_id", "_stretch"])
-    linked = local.where("_next is not null").select("conv_id", "turn", "role", "_next").unionByName(
-        edges.select("conv_id", "turn", "role", F.col("_after").alias("_next")))
-    pairs = linked.where((F.col("role") == "user") & (F.col("_next.role") == "assistant")).select(
-        "conv_id", F.col("turn").alias("question_turn"), F.col("_next.turn").alias("answer_turn"))
-    said = dialogues.select("conv_id", "turn", "role", "text")
-    asked = said.where("role = 'user'").select("conv_id", F.col("turn").alias("question_turn"), F.col("text").alias("question"))
-    answered = said.where("role = 'assistant'").select("conv_id", F.col("turn").alias("answer_turn"), F.col("text").alias("answer"))
-    return pairs.join(asked, ["conv_id", "question_turn"]).join(answered, ["conv_id", "answer_turn"]).select(
-        "conv_id", "question_turn", "question", "answer_turn", "answer")
+    local = rows.withColumn("_next", F.lead(turn).over(inside))
+    asked = local.where((F.col("role") == "user") & (F.col("_next.role") == "assistant"))
+    first, last = dialogues.agg(F.floor(F.min("turn") / STRETCH), F.floor(F.max("turn") / STRETCH)).first()
+    if first != last:
+        heads = rows.groupBy("conv_id", "_stretch").agg(F.min_by(turn, "turn").alias("_head"))
+        following = heads.withColumn("_after", F.lead("_head").over(Window.partitionBy("conv_id").orderBy("_stretch")))
+        ends = local.where("_next is null and role = 'user'").drop("_next")
+        handed = ends.join(following.where("_after.role = 'assistant'").select("conv_id", "_stretch", F.col("_after").alias("_next")), ["conv_id", "_stretch"])
+        asked = asked.unionByName(handed.select(asked.columns))
+    return asked.select(
+        "conv_id", F.col("turn").alias("question_turn"), F.col("text").alias("question"),
+        F.col("_next.turn").alias("answer_turn"), F.col("_next.text").alias("answer"))

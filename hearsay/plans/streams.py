@@ -13,7 +13,7 @@ from ..streaming import assignment, bursts, live
 from .activity import SERIES_SQL, POSTS_SQL, posts
 from .answers import CENTROID_SQL, COSINE, vectors
 from .registry import landing, query
-from .texts import SCORED_SQL
+from .texts import SCORED_SQL, TOXIC_SQL, bayes_sql, labelled_articles
 
 NTZ = "timestamp_ntz"
 DELAY = "2 hours"
@@ -141,6 +141,15 @@ def live_sentiment(spark, folder):
     return spark.read.parquet(live.run_available(scored))
 
 
+@query("live_bayes_sentiment", f"WITH {bayes_sql(TOXIC_SQL)} SELECT doc_id, score, CAST(score > 0 AS INTEGER) AS prediction FROM judged")
+def live_bayes_sentiment(spark, folder):
+    """The trained model on a stream of articles gives what it gives on the batch."""
+    model = sentiment.train_bayes(labelled_articles(spark, folder), "text", "toxic")
+    arriving = live.stream_mentions(spark, landing(folder, "documents"), schemas.ARTICLES)
+    path = live.live_scores(arriving, model, "doc_id", "text", fresh_path(spark, "scores"))
+    return spark.read.parquet(path).select("doc_id", F.round("score", 4).alias("score"), "prediction")
+
+
 @query("written_events", f"""
 WITH {POSTS_SQL}
 SELECT event_id, ts, user_id, event_type, value, topic, CAST(ts AS DATE) AS day FROM posts""")

@@ -208,6 +208,51 @@ def trained_sentiment_quality(spark, folder):
     )
 
 
+def bayes_sql(labelled: str) -> str:
+    """`judged` (doc_id, score): log odds of every document by naive Bayes over the rows (text, y) of `labelled`."""
+    return f"""
+known AS (SELECT text, y FROM ({labelled}) WHERE y IN (0, 1)),
+counted AS (
+  SELECT term, sum(y) AS ones, sum(1 - y) AS zeros FROM (SELECT y, unnest({WORDS_SQL}) AS term FROM known) GROUP BY term),
+sums AS (SELECT coalesce(sum(ones), 0) AS ones, coalesce(sum(zeros), 0) AS zeros, count(*) AS vocabulary FROM counted),
+classes AS (SELECT count(*) FILTER (y = 1) AS ones, count(*) FILTER (y = 0) AS zeros FROM known),
+gains AS (SELECT term, ln((ones + 1) / CAST(zeros + 1 AS DOUBLE)) AS gain FROM counted),
+doc_terms AS (SELECT doc_id, unnest({WORDS_SQL}) AS term FROM documents),
+gained AS (SELECT doc_id, sum(gain) AS gain FROM doc_terms JOIN gains USING (term) GROUP BY doc_id),
+judged AS (
+  SELECT d.doc_id, round(ln((c.ones + 1) / CAST(c.zeros + 1 AS DOUBLE))
+    + len({WORDS_SQL}) * ln((s.zeros + s.vocabulary + 1) / CAST(s.ones + s.vocabulary + 1 AS DOUBLE)) + coalesce(g.gain, 0), 4) AS score
+  FROM documents d LEFT JOIN gained g ON g.doc_id = d.doc_id, sums s, classes c)"""
+
+
+TOXIC_SQL = "SELECT d.text, l.toxic AS y FROM documents d JOIN labels l ON l.doc_id = d.doc_id"
+
+
+def labelled_articles(spark, folder):
+    return articles(spark, folder).join(spark.read.parquet(table(folder, "labels")), "doc_id")
+
+
+@query("bayes_sentiment", f"WITH {bayes_sql(TOXIC_SQL)} SELECT doc_id, score, CAST(score > 0 AS INTEGER) AS prediction FROM judged")
+def bayes_sentiment(spark, folder):
+    model = sentiment.train_bayes(labelled_articles(spark, folder), "text", "toxic")
+    scored = sentiment.score_bayes(model, articles(spark, folder), "doc_id", "text")
+    return scored.withColumn("score", F.round("score", 4))
+
+
+@query("bayes_sentiment_quality", f"""
+WITH {bayes_sql(TOXIC_SQL + " WHERE l.doc_id % 5 <> 0")}
+SELECT CAST(l.toxic AS INTEGER) AS label, CAST(j.score > 0 AS INTEGER) AS prediction, count(*) AS n
+FROM judged j JOIN labels l ON l.doc_id = j.doc_id WHERE l.doc_id % 5 = 0 GROUP BY 1, 2""")
+def bayes_sentiment_quality(spark, folder):
+    """How the labels of every fifth document are met by a model that has not seen them."""
+    labelled = labelled_articles(spark, folder)
+    apart = F.col("doc_id") % 5 == 0
+    model = sentiment.train_bayes(labelled.where(~apart), "text", "toxic")
+    scored = sentiment.score_bayes(model, labelled.where(apart), "doc_id", "text")
+    met = scored.join(labelled.select("doc_id", F.col("toxic").cast("int").alias("label")), "doc_id")
+    return met.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("story_keywords", f"""
 WITH stories AS (
   SELECT min(doc_id) OVER (PARTITION BY {COPY_SQL}) AS event_id, text FROM documents),

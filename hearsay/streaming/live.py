@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from ..functions.durations import seconds
 from ..functions.text import fingerprint
 from ..operators.hot import hot_topk
-from ..session import fresh_path
+from ..operators.sentiment import Bayes, score_bayes
+from ..session import cut, fresh_path
 from ..sources.sinks import write_batch
 
 
@@ -76,17 +79,97 @@ def start(
     landed so far. Results go to the function `each_batch` (batch, batch_id), or are
     appended to a Parquet table at `path`.
     """
+    _count_late(df.sparkSession)
     writer = df.writeStream.option("checkpointLocation", progress).trigger(**(trigger or {"availableNow": True}))
     if each_batch:
         return writer.foreachBatch(each_batch).start()
     return writer.outputMode("append").format("parquet").option("path", path).start()
 
 
-def dropped_late(query: StreamingQuery) -> int:
-    """Rows of this run that came after their window had closed, over all its stateful operators."""
-    return sum(
-        int(state["numRowsDroppedByWatermark"]) for step in query.recentProgress for state in step["stateOperators"]
-    )
+class LateRows(StreamingQueryListener):
+    """Adds up, per run, the rows that stateful operators dropped as too late; a query itself remembers its last 100 batches only."""
+
+    def __init__(self):
+        self.dropped: dict[str, int] = {}
+        self.batches: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        run = str(event.progress.runId)
+        rows = sum(int(state.numRowsDroppedByWatermark) for state in event.progress.stateOperators)
+        self.dropped[run] = self.dropped.get(run, 0) + rows
+        self.batches[run] = int(event.progress.batchId)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+_late: dict[str, LateRows] = {}
+
+
+def _count_late(spark: SparkSession) -> None:
+    app = spark.sparkContext.applicationId
+    if app not in _late:
+        _late[app] = LateRows()
+        spark.streams.addListener(_late[app])
+
+
+def dropped_late(query: StreamingQuery, wait: float = 30.0) -> int:
+    """Rows of this run that came after their window had closed, over all its batches and stateful operators.
+
+    Counts arrive beside the run; up to `wait` seconds are spent on those of its last batch.
+    """
+    counts = _late[SparkSession.getActiveSession().sparkContext.applicationId]
+    run, last, until = str(query.runId), query.lastProgress, time.monotonic() + wait
+    while last is not None and counts.batches.get(run, -1) < int(last["batchId"]) and time.monotonic() < until:
+        time.sleep(0.05)
+    return counts.dropped.get(run, 0)
+
+
+CLOCK = "seen timestamp"
+
+
+def keep_late(df: DataFrame, ts: str, delay: str, width: str, folder: str, progress: str | None = None) -> str:
+    """Part a stream into `timely` and `late` rows under `folder`; gives the folder back.
+
+    A row is late if its window of `width` had closed before its batch began: its end lies `delay`
+    or more before the newest time of earlier batches, which `clock` keeps from batch to batch. Each has a
+    folder per batch, so a repeated batch replaces itself. Rows without a time are timely.
+    """
+    root = folder.rstrip("/")
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = cut(batch)
+        before = None
+        if batch_id:
+            before = spark.read.schema(CLOCK).parquet(f"{root}/clock/batch={batch_id - 1}").first()["seen"]
+        at = F.col(ts).cast("timestamp")
+        newest = batch.agg(F.max(at).alias("seen")).select(F.greatest("seen", F.lit(before).cast("timestamp")).alias("seen"))
+        write_batch(newest, f"{root}/clock", batch_id)
+        end = F.window(at, f"{seconds(width)} seconds")["end"]
+        closed = F.lit(False)
+        if before is not None:
+            closed = F.coalesce(end <= F.lit(before).cast("timestamp") - F.expr(f"interval {seconds(delay)} seconds"), F.lit(False))
+        marked = batch.withColumn("_late", closed) if before is None else batch.where(F.col(ts).isNotNull()).withColumn("_late", closed).unionByName(
+            batch.where(F.col(ts).isNull()).withColumn("_late", F.lit(False)))
+        write_batch(marked.where("_late").drop("_late"), f"{root}/late", batch_id)
+        write_batch(marked.where("not _late").drop("_late"), f"{root}/timely", batch_id)
+
+    return run_available(df, folder, each, progress)
+
+
+def live_scores(df: DataFrame, model: Bayes, id: str, text: str, path: str, progress: str | None = None) -> str:
+    """Write the scores of a trained model for each batch of mentions, as `score_bayes` gives them; a folder per batch."""
+    def each(batch: DataFrame, batch_id: int) -> None:
+        write_batch(score_bayes(model, batch, id, text), path, batch_id)
+
+    return run_available(df, path, each, progress)
 
 
 def run_available(df: DataFrame, path: str | None = None, each_batch=None, progress: str | None = None) -> str:

@@ -124,3 +124,33 @@ def test_bursts_of_named_topics_end_and_are_forgotten(spark):
     assert found == [("storm", 4, 30, True), ("storm", 5, 0, False), ("vote", 9, 9, True), ("vote", 10, 2, False)]
     # Seven silent days after its last mention the storm is no longer held; the vote is.
     assert rows_in_state(spark, progress, 0) == {"vote"}
+
+
+def test_late_rows_are_counted_over_many_batches(spark):
+    """More batches than a query remembers; each later hour brings one row too late."""
+    hours = [[(dt.datetime(2024, 3, 1) + dt.timedelta(hours=h), 1, "a")] for h in range(115)]
+    for h in range(5, 115):
+        hours[h].append((dt.datetime(2024, 3, 1), 2, "late"))
+    path = land(spark, hours)
+    folder = live.keep_late(stream(spark, path), "ts", "2 hours", "1 hour", fresh_path(spark, "parted"))
+    late, timely = (spark.read.parquet(f"{folder}/{name}") for name in ("late", "timely"))
+    assert late.count() == 110 and {r.topic for r in late.select("topic").distinct().collect()} == {2}
+    assert timely.count() == 115 and late.select("batch").distinct().count() == 110
+    counts = live.live_counts(live.with_lateness(stream(spark, path), "ts", "2 hours"), "ts", "topic", "1 hour")
+    query = live.start(counts, fresh_path(spark, "progress"), fresh_path(spark, "out"))
+    query.awaitTermination()
+    assert len(query.recentProgress) <= 100 and live.dropped_late(query) == 110
+
+
+def test_rows_without_a_time_and_resumed_clocks(spark):
+    path, folder, progress = land(spark, [[(at(10, 5), 1, "a"), (None, 1, "n")]]), fresh_path(spark, "parted"), fresh_path(spark, "progress")
+
+    def run():
+        live.keep_late(stream(spark, path), "ts", "2 hours", "1 hour", folder, progress)
+        return {n: sorted(r.text for r in spark.read.parquet(f"{folder}/{n}").collect()) for n in ("late", "timely")}
+
+    assert run() == {"late": [], "timely": ["a", "n"]}
+    for rows in ([(at(14, 0), 1, "b")], [(at(10, 59), 1, "too late"), (at(12, 30), 1, "c"), (None, 1, "m")]):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        last = run()
+    assert last == {"late": ["too late"], "timely": ["a", "b", "c", "m", "n"]}
