@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import hot, trend
 from ..sources import tables
+from ..session import cut
 from .registry import query, table
 
 POSTS_SQL = """
@@ -205,3 +206,13 @@ SELECT topic, count(*) AS n FROM posts WHERE topic IS NOT NULL GROUP BY topic"""
 def hot_topics_sketch(spark, folder):
     """All 100 topics fit into the sketch, so its counts are exact here."""
     return hot.approx_hot_topics(posts(spark, folder).where(F.col("topic").isNotNull()), "topic", 100)
+
+
+@query("authors_by_week", f"""
+WITH {POSTS_SQL}
+SELECT time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01') AS bucket, topic, count(*) AS n, count(DISTINCT user_id) AS authors
+FROM posts WHERE topic IS NOT NULL GROUP BY 1, 2""")
+def authors_by_week(spark, folder):
+    """Weekly authors from daily sketches; so few authors in a week of a topic are counted without error."""
+    daily = cut(hot.author_sketches(posts(spark, folder), "ts", "topic", "1 day", "user_id"))
+    return hot.count_authors(hot.unite_authors(daily, "bucket", "topic", width="7 days"))

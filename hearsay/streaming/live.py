@@ -13,7 +13,7 @@ from ..functions.text import fingerprint
 from ..operators.hot import hot_topk
 from ..operators.sentiment import Bayes, score_bayes
 from ..session import cut, fresh_path
-from ..sources.sinks import write_batch
+from ..sources.sinks import commit_batch, write_batch
 
 
 def stream_mentions(
@@ -199,3 +199,8 @@ def live_hot_topk(counts: DataFrame, k: int, path: str, progress: str | None = N
         write_batch(hot_topk(flat, k), path, batch_id)
 
     return run_available(counts, path, each, progress)
+
+
+def append_committed(df: DataFrame, path: str, progress: str | None = None) -> str:
+    """Append every batch to the committed table at `path`; `sinks.read_committed` reads it."""
+    return run_available(df, path, lambda batch, batch_id: commit_batch(batch, path, batch_id), progress)
