@@ -333,9 +333,13 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """Blocks with `first`, the number of ids before the block in the whole sequence."""
     blocks = spark.read.schema(BLOCKS).parquet(path)
     totals = blocks.groupBy("chunk", "block").agg(F.sum("n_ids").alias("_n"))
-    # One short row per block of a quarter million ids, thousands of times fewer than documents.
-    before = F.sum("_n").over(Window.orderBy("chunk", "block").rowsBetween(Window.unboundedPreceding, -1))
-    return blocks.join(totals.select("chunk", "block", F.coalesce(before, F.lit(0)).alias("first")), ["chunk", "block"])
+    # Blocks are counted within their chunk; only the chunks, a few for each partition, are counted one after another.
+    inside = Window.partitionBy("chunk").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = totals.groupBy("chunk").agg(F.sum("_n").alias("_n"))
+    before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.select("chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    places = totals.withColumn("_within", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(F.broadcast(chunks), "chunk")
+    return blocks.join(places.select("chunk", "block", (F.col("_before") + F.col("_within")).alias("first")), ["chunk", "block"])
 
 
 def read_documents(blocks: DataFrame, id: str = "doc_id") -> DataFrame:
