@@ -281,7 +281,11 @@ def drop_contaminated(
     docs: DataFrame, items: DataFrame, share: float = EDIT_SHARE, q: int = Q, min_chars: int = MIN_CHARS,
     text: str = "text", item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
-    """The rows of `docs` that hold no passage of an item, with their own columns only."""
+    """The rows of `docs` that hold no passage of an item, with their own columns only.
+
+    Rows of null and empty texts hold none and stay; repeated rows stay or go together; ids are
+    not read. Without items all rows stay; an empty table stays empty.
+    """
     kept = docs
     for block in item_blocks(items, min_chars, item_id, item_text):
         kept = kept.where(_is_clean(_finder(docs.sparkSession, block, share, q))(F.col(text)))

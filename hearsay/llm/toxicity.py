@@ -181,7 +181,11 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, column: str, text: str
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """The rows scored below the threshold, with their own columns only."""
+    """The rows scored below the threshold, with their own columns only.
+
+    Null and empty texts are scored as empty ones; every repeated row is judged alike and stays or
+    goes with the others; ids are not read; an empty table stays empty.
+    """
     named = "_toxicity"
     while named in docs.columns:
         named += "_"
