@@ -60,21 +60,24 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
 
 
 def map_texts(
-    rows: DataFrame, make: Callable[[], Callable[[list[str]], dict]], columns: str
+    rows: DataFrame, make: Callable[[], Callable[[list[str]], dict]], columns: str, along: str = "",
 ) -> DataFrame:
     """(_id, columns) of each row of (_id, _text), by a function on whole texts made once per task.
 
-    Null texts come as empty. Ids pass through untouched, null or not.
+    Null texts come as empty. Ids pass through untouched, null or not, and so do the columns named in `along`.
     """
-    schema = pa.schema([("_id", pa.int64()), *to_arrow_schema(StructType.fromDDL(columns))])
+    passed = to_arrow_schema(StructType.fromDDL(along)) if along else []
+    schema = pa.schema([("_id", pa.int64()), *to_arrow_schema(StructType.fromDDL(columns)), *passed])
+    carried = [f.name for f in passed]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"_id": batch.column("_id"), **work(texts)}, schema=schema)
+            kept = {name: batch.column(name) for name in carried}
+            yield pa.RecordBatch.from_pydict({"_id": batch.column("_id"), **work(texts), **kept}, schema=schema)
 
-    return rows.select("_id", "_text").mapInArrow(tidy(run), f"_id bigint, {columns}")
+    return rows.select("_id", "_text", *carried).mapInArrow(tidy(run), ", ".join(filter(None, ["_id bigint", columns, along])))
 
 
 def fold(id: Column, folds: int) -> Column:

@@ -175,19 +175,24 @@ def likely(pairs: DataFrame, keyed: DataFrame) -> DataFrame:
 
 
 def text_sets(texts: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
-    """(h, hashes) of the wanted texts of `_text`, one row each."""
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = np.array([text_hash(words_of(t)) for t in batch.column(0).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(own), batch.column(0).cast(pa.string())], names=["h", "_text"])
+    """(h, hashes) of the wanted texts of `_text`, one row each.
 
+    `wanted` has (h, x): a text's own name and the hash by which it is found without reading its words.
+    """
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(words_of(t), words).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["h", "hashes"])
+            names, sets = [], []
+            for text in batch.column(0).to_pylist():
+                found = words_of(text)
+                names.append(text_hash(found))
+                sets.append(shingle_set(found, words).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array(names, dtype=np.uint64).view(np.int64)), pa.array(sets, pa.binary())], names=["h", "hashes"])
 
-    named = texts.select("_text").mapInArrow(tidy(name), "h bigint, _text string").join(wanted, "h", "left_semi")
-    return named.mapInArrow(tidy(shingle), "h bigint, hashes binary").dropDuplicates(["h"])
+    met = texts.select("_text", F.xxhash64("_text").alias("x")).join(wanted.select("x").distinct(), "x", "left_semi").drop("x")
+    # Another text of the same hash may come along; its name is not wanted.
+    found = met.mapInArrow(tidy(shingle), "h bigint, hashes binary")
+    return found.join(wanted.select("h"), "h", "left_semi").dropDuplicates(["h"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
@@ -212,7 +217,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
 def alike_links(
     keyed: DataFrame, texts: DataFrame, known: DataFrame, alike: float = ALIKE, words: int = WORDS,
 ) -> DataFrame:
-    """(a, b): links that connect all texts of (h, keys) that share a key and are at least so similar.
+    """(a, b): links that connect all texts of (h, x, keys) that share a key and are at least so similar.
 
     Texts that the links (a, b) of `known` connect are not compared again.
     """
@@ -220,8 +225,8 @@ def alike_links(
     keys = keyed.select("h", "keys").mapInArrow(tidy(_explode), "key bigint, h bigint")
     met = cut(keys.repartition(partitions(spark), "key").sortWithinPartitions("key", "h").mapInArrow(tidy(_stars), "key bigint, a bigint, b bigint"))
     stars = cut(met.select("a", "b").distinct())
-    wanted = cut(stars.select(F.explode(F.array("a", "b")).alias("h")).distinct())
-    sets = cut(text_sets(texts, wanted, words))
+    wanted = stars.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    sets = cut(text_sets(texts, cut(keyed.select("h", "x").join(wanted, "h")), words))
     links = known.unionByName(_verified(stars, sets, alike))
     several = cut(met.select("key", F.col("b").alias("h")).unionByName(met.select("key", F.col("a").alias("h")).distinct()))
     labels = _labels(links)

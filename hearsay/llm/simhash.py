@@ -164,7 +164,7 @@ def near_links(distinct: DataFrame) -> DataFrame:
 
 
 def keyed_fingerprints(docs: DataFrame, words: int, id: str, text: str) -> DataFrame:
-    """(_id, fp, h, keys) of every row: also the hash of its words and the MinHash keys of its shingles."""
+    """(_id, fp, h, keys, x) of every row: also the hash of its words, the MinHash keys of its shingles and the hash of its text as it is."""
     def make():
         def of(text):  # one text at a time, as words take many times its size
             found = shingles.words_of(text)
@@ -175,7 +175,8 @@ def keyed_fingerprints(docs: DataFrame, words: int, id: str, text: str) -> DataF
             return {"fp": np.array(prints, dtype=np.uint64).view(np.int64), "h": np.array(names, dtype=np.uint64).view(np.int64), "keys": list(keys)}
         return work
 
-    return map_texts(id_and_text(docs, id, text), make, "fp bigint, h bigint, keys binary")
+    rows = id_and_text(docs, id, text).withColumn("x", F.xxhash64("_text"))
+    return map_texts(rows, make, "fp bigint, h bigint, keys binary", "x bigint")
 
 
 def near_groups(
@@ -194,7 +195,7 @@ def near_groups(
     groups = cut(printed.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("least")))
     links = cut(near_links(groups))
     if alike is not None:
-        keyed = cut(printed.groupBy("h").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+        keyed = cut(printed.groupBy("h").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min("x").alias("x")))
         near = components(links, "a", "b").select(F.col("id").alias("fp"), F.col("event_id").alias("label"))
         tied = keyed.join(near, "fp", "left").select("h", F.coalesce("label", "fp").alias("label"))
         heads = tied.groupBy("label").agg(F.min("h").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
