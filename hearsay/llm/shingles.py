@@ -156,8 +156,10 @@ def one_each(rare: DataFrame) -> DataFrame:
 def all_fitting(rare: DataFrame) -> DataFrame:
     """(a, b): all texts of two components that meet in a shingle and may be alike."""
     other = rare.select("shingle", F.col("label").alias("_label"), F.col("h").alias("_h"), F.col("n").alias("_n"), F.col("most").alias("_most"))
-    met = _meetings(rare).join(rare.drop("roomy"), ["shingle", "label"]).join(other, ["shingle", "_label"]).where("n <= _most and _n <= most")
-    return met.select(*_paired("h", "_h")).distinct()
+    # A text that fits no text of the other component there is not met with it.
+    fits = rare.groupBy("shingle", F.col("label").alias("_label")).agg(F.min("n").alias("_least"), F.max("most").alias("_reach"))
+    met = _meetings(rare).join(fits, ["shingle", "_label"]).join(rare.drop("roomy"), ["shingle", "label"]).where("n <= _reach and _least <= most")
+    return met.join(other, ["shingle", "_label"]).where("n <= _most and _n <= most").select(*_paired("h", "_h")).distinct()
 
 
 def likely(pairs: DataFrame, keyed: DataFrame) -> DataFrame:
