@@ -32,9 +32,9 @@ from .common import id_and_text, ordered_chunks, partitions, tidy
 END_ID = 1
 BLOCK_IDS = 1 << 18
 # Pieces of words whose ids a task keeps, and as many older ones.
-PIECE_STORE = 200_000
-# Bytes of the texts whose words are looked up together.
-SLICE_BYTES = 4 << 20
+PIECE_STORE = 50_000
+# Bytes of the texts whose words are looked up together; the arrays over them take some 20 times as much.
+SLICE_BYTES = 1 << 19
 
 BLOCKS = "chunk int, block int, width int, n_ids bigint, ids binary, doc_ids array<bigint>, offsets array<bigint>"
 
@@ -73,7 +73,9 @@ def gather(flat: np.ndarray, first: np.ndarray, size: np.ndarray, index: np.ndar
     ends = np.cumsum(lengths)
     if not len(ends):
         return flat[:0]
-    return flat[np.repeat(first[index] - (ends - lengths), lengths) + np.arange(ends[-1])]
+    places = np.repeat(first[index] - (ends - lengths), lengths)
+    places += np.arange(ends[-1])
+    return flat[places]
 
 
 class Known:
@@ -339,7 +341,9 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.select("chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     places = totals.withColumn("_within", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(F.broadcast(chunks), "chunk")
-    return blocks.join(places.select("chunk", "block", (F.col("_before") + F.col("_within")).alias("first")), ["chunk", "block"])
+    # A row of three numbers per block goes to the blocks, so their ids are neither shuffled nor sorted.
+    firsts = places.select("chunk", "block", (F.col("_before") + F.col("_within")).alias("first"))
+    return blocks.join(F.broadcast(firsts), ["chunk", "block"])
 
 
 def read_documents(blocks: DataFrame, id: str = "doc_id") -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -210,6 +211,28 @@ def test_packed_documents(session, monkeypatch):
         start += len(ids)
 
 
+def test_blocks_are_not_shuffled_to_find_their_place(session):
+    before = session.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = session.createDataFrame([(i, "the cat sat") for i in range(50)], "doc_id bigint, text string")
+        blocks = packing.read_blocks(session, packing.write_packed(docs, packing.fresh_path(session, "packed")))
+        assert "SortMergeJoin [chunk" not in blocks._jdf.queryExecution().executedPlan().toString()
+    finally:
+        session.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_encoder_holds_little_of_a_long_batch():
+    texts = [" ".join(f"w{i % 500} and,so" for i in range(9_000))] * 32
+    encoder = packing.WordEncoder(packing.tokenizer_file())
+    tracemalloc.start()
+    try:
+        assert len({ids.tobytes() for ids in encoder.encode(texts)}) == 1
+        assert tracemalloc.get_traced_memory()[1] < 12 * len(texts) * len(texts[0])
+    finally:
+        tracemalloc.stop()
+
+
 # --- decontamination -----------------------------------------------------------------------
 
 def test_edit_distance():
