@@ -180,3 +180,16 @@ def test_live_assignment_goes_on(spark):
             land(spark, path, [(6, [0.1, 1.0]), (7, [1.0, 0.0])])
     # The second run made one batch, not both again.
     assert spark.read.parquet(out).select("batch").distinct().count() == 2
+
+
+def test_probes_hold_for_other_queries():
+    rng = np.random.default_rng(5)
+
+    def needed(n):  # the neighbours of a query lie together or far apart
+        return np.ceil(rng.exponential(rng.choice([2.0, 12.0], (n, 1), p=[0.7, 0.3]), (n, 10))).astype(int) + 1
+
+    reached = []
+    for _ in range(200):
+        sample, others = needed(200), needed(200)
+        reached.append((others <= vectors.fewest_probes(sample, 0.9, len(others))).mean() >= 0.9)
+    assert all(reached)
