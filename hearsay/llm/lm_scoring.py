@@ -5,8 +5,8 @@ of the document that is scored (leave-one-out), so nothing is scored by itself.
 
 Relations, each partitioned by what it is joined on:
 
-* blocks: some thousand documents with their words as codes and the hashes of the
-  block's distinct words; written once, so a block never changes;
+* blocks: documents of some megabytes, whatever the Arrow batches are like, with their words
+  as codes and the hashes of the block's distinct words; written once, so a block never changes;
 * n-grams: the distinct n-grams of each block with their counts in it, dealt by hash
   into buckets. A bucket sums them into the count table and joins the sums back to
   the n-grams asked for. An n-gram, however frequent, is one entry per block;
@@ -14,7 +14,8 @@ Relations, each partitioned by what it is joined on:
   are exploded there into the words of each document and summed per document.
 
 Entries travel packed and compressed, many to a row: a bucket keeps 48 bits of a hash beside the
-bits that chose the bucket, and there are as many buckets as the corpus needs.
+bits that chose the bucket, as steps from one key to the next, and there are as many buckets as the
+corpus needs.
 """
 
 from __future__ import annotations
@@ -30,15 +31,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import fresh_path
-from .common import id_and_text, partitions
+from .common import id_and_text, partitions, tidy
 
 ORDER = 2
 BACKOFF = 0.4
 # N-grams asked for per bucket, about.
 BUCKET_ENTRIES = 1_000_000
+# Bytes of the texts of a block, about, each row counted with some of its own; an n-gram is an entry in every block that has it.
+BLOCK_BYTES = 4 << 20
+ROW_BYTES = 64
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_LOW = np.uint64((1 << 48) - 1)
 _BLOCKS = "block bigint, n_words bigint, n_distinct bigint, doc_ids array<bigint>, lengths binary, codes binary, hashes binary"
 
 
@@ -48,31 +51,49 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def squeeze(numbers: np.ndarray) -> bytes:
-    """Whole numbers from 0 on, mostly small: a width of 4 or 8 bytes, then the numbers, compressed."""
+    """Whole numbers from 0 on, mostly small: a width of 4 or 8 bytes, then all lowest bytes, all second ones and so on, compressed."""
     width = 4 if numbers.max(initial=0) < 1 << 32 else 8
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(numbers.astype(f"<u{width}").tobytes())
+    planes = np.ascontiguousarray(numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unsqueeze(raw: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), dtype=f"<u{raw[0]}")
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    task = TaskContext.get().partitionId()
-    for place, batch in enumerate(batches):
-        table = batch.to_pydict()
-        split = [words_of(t) for t in table["_text"]]
-        flat = np.array([w for words in split for w in words], dtype=object)
-        codes, distinct = pd.factorize(flat) if len(flat) else (np.zeros(0, np.int64), [])
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in distinct], dtype="<u8")
-        row = {
-            "block": [(task << 32) + place], "n_words": [len(flat)], "n_distinct": [len(hashes)], "doc_ids": [table["_id"]],
-            "lengths": [np.array([len(w) for w in split], dtype="<u4").tobytes()],
-            "codes": [squeeze(codes)], "hashes": [hashes.tobytes()],
-        }
-        yield pa.RecordBatch.from_pydict(row, schema=pa.schema([
-            ("block", pa.int64()), ("n_words", pa.int64()), ("n_distinct", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
-            ("lengths", pa.binary()), ("codes", pa.binary()), ("hashes", pa.binary())]))
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), dtype=np.uint8).reshape(raw[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{raw[0]}").ravel()
+
+
+def _block(number: int, ids: list, texts: list[str | None]) -> pa.RecordBatch:
+    split = [words_of(t) for t in texts]
+    flat = np.array([w for words in split for w in words], dtype=object)
+    codes, distinct = pd.factorize(flat) if len(flat) else (np.zeros(0, np.int64), [])
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in distinct], dtype="<u8")
+    row = {
+        "block": [number], "n_words": [len(flat)], "n_distinct": [len(hashes)], "doc_ids": [ids],
+        "lengths": [np.array([len(w) for w in split], dtype="<u4").tobytes()],
+        "codes": [squeeze(codes)], "hashes": [hashes.tobytes()],
+    }
+    return pa.RecordBatch.from_pydict(row, schema=pa.schema([
+        ("block", pa.int64()), ("n_words", pa.int64()), ("n_distinct", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
+        ("lengths", pa.binary()), ("codes", pa.binary()), ("hashes", pa.binary())]))
+
+
+def _blocks(most: int):
+    """Texts -> blocks of at most `most` bytes of whole Arrow batches, at least one batch each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        ids, texts, size, place = [], [], 0, 0
+        for batch in batches:
+            own = batch.column("_text").nbytes + ROW_BYTES * len(batch)
+            if ids and size + own > most:
+                yield _block((task << 32) + place, ids, texts)
+                ids, texts, size, place = [], [], 0, place + 1
+            ids += batch.column("_id").to_pylist()
+            texts += batch.column("_text").to_pylist()
+            size += own
+        if ids:
+            yield _block((task << 32) + place, ids, texts)
+
+    return run
 
 
 def grams_of(lengths: np.ndarray, codes: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -114,14 +135,11 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-def _low48(hashes: np.ndarray) -> bytes:
-    return np.ascontiguousarray((hashes & _LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _from48(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
-    wide[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
-    return wide.view("<u8").ravel()
+def keys_in(hashes: np.ndarray, of: np.ndarray, buckets: int) -> np.ndarray:
+    """What a bucket keeps of its hashes, in their order: how far they lie behind its least, to 48 bits beside those of the bucket."""
+    least = (np.arange(buckets, dtype=np.uint64) << np.uint64(32)) + np.uint64(buckets - 1)
+    least = (least // np.uint64(buckets)) << np.uint64(32)
+    return (hashes - least[of]) >> np.uint64(max(0, 17 - buckets.bit_length()))
 
 
 def _asking(order: int, buckets: int):
@@ -139,10 +157,11 @@ def _asking(order: int, buckets: int):
                 sort = np.argsort(hashes, kind="stable")
                 hashes, counts = hashes[sort], counts[sort]
                 of = bucket_of(hashes, buckets)
+                keys = keys_in(hashes, of, buckets)
                 edges = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]]))
                 rows = {
                     "bucket": of[edges[:-1]].astype(np.int32), "block": np.full(len(edges) - 1, row["block"]),
-                    "keys": [_low48(hashes[a:b]) for a, b in zip(edges[:-1], edges[1:])],
+                    "keys": [squeeze(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in zip(edges[:-1], edges[1:])],
                     "counts": [squeeze(counts[a:b]) for a, b in zip(edges[:-1], edges[1:])],
                 }
                 yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([
@@ -157,7 +176,7 @@ def _count_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[dict] = []
 
     def answer() -> pa.RecordBatch:
-        keys = [_from48(r["keys"]) for r in held]
+        keys = [np.cumsum(unsqueeze(r["keys"]), dtype=np.uint64) for r in held]
         counts = np.concatenate([unsqueeze(r["counts"]) for r in held])
         _, place = np.unique(np.concatenate(keys), return_inverse=True)
         # Sums of whole numbers below 2^53 are exact.
@@ -224,16 +243,16 @@ def score_documents(
     """
     spark = docs.sparkSession
     path = fresh_path(spark, "blocks")
-    id_and_text(docs, id, text).mapInArrow(_blocks, _BLOCKS).write.option("compression", "zstd").parquet(path)
+    id_and_text(docs, id, text).mapInArrow(tidy(_blocks(BLOCK_BYTES)), _BLOCKS).write.option("compression", "zstd").parquet(path)
     blocks = spark.read.schema(_BLOCKS).parquet(path)
     n_corpus, asked = blocks.agg(F.sum("n_words"), F.sum(F.col("n_distinct") + (order - 1) * F.col("n_words"))).first()
     n_corpus = n_corpus or 0
     buckets = max(partitions(spark), -(-(asked or 0) // BUCKET_ENTRIES))
     asking = blocks.select("block", "lengths", "codes", "hashes").mapInArrow(
-        _asking(order, buckets), "bucket int, block bigint, keys binary, counts binary")
+        tidy(_asking(order, buckets)), "bucket int, block bigint, keys binary, counts binary")
     answers = (
         asking.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
-        .mapInArrow(_count_table, "block bigint, bucket int, totals binary")
+        .mapInArrow(tidy(_count_table), "block bigint, bucket int, totals binary")
     )
 
     def score(own: pa.Table, found: pa.Table) -> pa.Table:

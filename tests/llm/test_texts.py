@@ -10,8 +10,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from hearsay.llm import decontaminate, licenses, lm_scoring, mixing, packing, pii, simhash, winnowing
+from hearsay.llm.common import ready
 
 from .conftest import COLUMNS, words
 
@@ -108,6 +110,36 @@ def test_stupid_backoff(session, monkeypatch):
                 assert math.isclose(got[i]["log_score"], score, abs_tol=1e-6), (order, leave_out, i)
 
 
+def test_blocks_do_not_follow_arrow_batches(session):
+    rng = random.Random(12)
+    rows = corpus(rng, 200, most=40)
+    docs = session.createDataFrame(rows, COLUMNS).repartition(2).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        blocks, small = (
+            docs.mapInArrow(lm_scoring._blocks(most), lm_scoring._BLOCKS).collect() for most in (lm_scoring.BLOCK_BYTES, 5_000))
+    finally:
+        ready(session)
+    assert len(blocks) == 2 and len(small) > 4 and len({r["block"] for r in small}) == len(small)
+    for found in (blocks, small):
+        assert sorted(d for r in found for d in r["doc_ids"]) == sorted(r[0] for r in rows)
+
+
+def test_keys_and_numbers_travel_whole():
+    rng = np.random.default_rng(2)
+    hashes = np.sort(rng.integers(0, 1 << 64, 20_000, dtype=np.uint64))
+    for buckets in (1, 3, 97, 70_000):
+        of = lm_scoring.bucket_of(hashes, buckets)
+        keys = lm_scoring.keys_in(hashes, of, buckets)
+        assert len(set(zip(of.tolist(), keys.tolist()))) == len(hashes)
+        assert int(keys.max()) < 1 << 49 and (np.diff(keys.astype(np.int64))[np.diff(of) == 0] > 0).all()
+    first = lm_scoring.keys_in(hashes, np.zeros(20_000, np.int64), 1)
+    assert (np.cumsum(lm_scoring.unsqueeze(lm_scoring.squeeze(np.diff(first, prepend=np.uint64(0)))), dtype=np.uint64) == first).all()
+    assert len(lm_scoring.squeeze(np.diff(first, prepend=np.uint64(0)))) < 5.5 * len(first)
+    for numbers in (np.zeros(0, np.int64), np.arange(9), np.array([0, 1, 1 << 40])):
+        assert (lm_scoring.unsqueeze(lm_scoring.squeeze(numbers)) == numbers).all()
+
+
 # --- simhash -------------------------------------------------------------------------------
 
 def plain_simhash(text):
