@@ -254,6 +254,25 @@ def test_blocks_are_not_shuffled_to_find_their_place(session):
         session.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_plain_words_go_to_the_model_alone():
+    content = packing.tokenizer_file()
+    encoder = packing.WordEncoder(content)
+    library = encoder.tokenizer
+    assert packing.WordEncoder(content).tokenizer is library  # loaded once per worker
+    rng = random.Random(13)
+    plain = [" ".join("".join(rng.choices(packing.LOWER[:most], k=rng.randint(1, 9))) for _ in range(3_000)) for most in (26, None)]
+    asked, batch = [], encoder._batch
+    encoder._batch = lambda text, kind="": (asked.append((kind, text)), batch(text, kind))[1]
+    for text, ids in zip(plain, encoder.encode(plain)):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    alone = sum(len(t) for kind, t in asked if kind in ("ascii", "latin"))
+    assert sum(len(t) for kind, t in asked) - alone < alone / 2 and alone > 20_000
+    letters = packing.LOWER + packing.UPPER + " " * 20 + ".,!?;:'" * 3 + "×÷\u0301\u0300İſŒł09-#ªºµ"
+    odd = ["".join(rng.choices(letters, k=80)) for _ in range(300)]
+    for text, ids in zip(odd, encoder.encode(odd)):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_encoder_holds_little_of_a_long_batch():
     texts = [" ".join(f"w{i % 500} and,so" for i in range(9_000))] * 32
     encoder = packing.WordEncoder(packing.tokenizer_file())
