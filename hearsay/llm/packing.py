@@ -20,6 +20,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -86,6 +87,11 @@ def gather(flat: np.ndarray, first: np.ndarray, size: np.ndarray, index: np.ndar
     return flat[places]
 
 
+def _looked_up(slots: dict[bytes, int], pieces: np.ndarray) -> np.ndarray:
+    """Slot of each piece, -1 for one that is not there."""
+    return np.fromiter(map(slots.get, pieces.tolist(), repeat(-1)), dtype=np.int64, count=len(pieces))
+
+
 class Known:
     """Ids of pieces: `slot` names a piece's place in `first` and `size`, its run of `flat`."""
 
@@ -183,32 +189,32 @@ class WordEncoder:
         if len(self.recent.slot) > PIECE_STORE:
             self.older, self.recent = self.recent, Known()
         # Far faster than to_pylist, which makes a scalar of each.
-        pieces = distinct.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
-        known = list(map(self.recent.slot.get, pieces))
-        lacking = [i for i, s in enumerate(known) if s is None]
-        if lacking:
-            held = [self.older.slot.get(pieces[i]) for i in lacking]
-            old = np.array([s for s in held if s is not None], dtype=np.int64)
-            if len(old):
-                self.recent.add([pieces[i] for i, s in zip(lacking, held) if s is not None],
-                                gather(self.older.flat, self.older.first, self.older.size, old), self.older.size[old])
-            new = [i for i, s in zip(lacking, held) if s is None]
-            asked = distinct.take(pa.array(new, pa.int64()))
-            kinds = np.full(len(new), "marks", dtype=object)
-            if self.ends is not None:
-                kinds[pc.utf8_is_alpha(asked).to_numpy(zero_copy_only=False)] = "letters"
-            for kind in self.plain:
-                kinds[pc.match_substring_regex(asked, f"^[{PLAIN[kind]}]+$").to_numpy(zero_copy_only=False)] = kind
-            of: dict[str, list[bytes]] = {}
-            for i, kind in zip(new, kinds.tolist()):
-                of.setdefault(kind, []).append(pieces[i])
-            left = of.pop("marks", [])
-            for kind, group in of.items():
-                left += self._by_ends(group, kind)
-            self._by_marks(left)
-            for i in lacking:
-                known[i] = self.recent.slot[pieces[i]]
-        return np.array(known, dtype=np.int64)
+        pieces = distinct.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+        known = _looked_up(self.recent.slot, pieces)
+        lacking = np.flatnonzero(known < 0)
+        if len(lacking):
+            lacked = pieces[lacking]
+            held = _looked_up(self.older.slot, lacked)
+            old, new = held >= 0, held < 0
+            if old.any():
+                ids = gather(self.older.flat, self.older.first, self.older.size, held[old])
+                self.recent.add(lacked[old].tolist(), ids, self.older.size[held[old]])
+            self._learn(lacked[new], distinct.take(pa.array(lacking[new])))
+            known[lacking] = _looked_up(self.recent.slot, lacked)
+        return known
+
+    def _learn(self, pieces: np.ndarray, words: pa.Array) -> None:
+        """Ask the library for new pieces, which `words` are too, each in the cheapest way it allows."""
+        kinds = np.zeros(len(pieces), dtype=np.int8)
+        names = ["letters", *self.plain]
+        if self.ends is not None:
+            kinds[pc.utf8_is_alpha(words).to_numpy(zero_copy_only=False)] = 1
+        for of, kind in enumerate(self.plain, start=2):
+            kinds[pc.match_substring_regex(words, f"^[{PLAIN[kind]}]+$").to_numpy(zero_copy_only=False)] = of
+        left = pieces[kinds == 0].tolist()
+        for of, kind in enumerate(names, start=1):
+            left += self._by_ends(pieces[kinds == of].tolist(), kind)
+        self._by_marks(left)
 
     def _pieces(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """(pieces, which words have a tail, the tails): distinct words as what is looked up of them, tails last."""
